@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rowdex.llm import exact_dedup, mixing, sharding
+from rowdex.llm import bpe, exact_dedup, licenses, mixing, sharding, token_count
 from rowdex.llm._common import read_table
 
 #: Target weights of the mixture, by level of its tree.
@@ -30,16 +30,46 @@ def op1_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def vocabulary(name: str) -> str:
+    """Path of a file of the public tokenizers."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def pretoken_pattern() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.PATTERN
+
+
+def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan_licenses(read_table(spark, sf_dir, "documents", "doc_id", "text"))
+
+
 def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents", "doc_id", "text")
     return exact_dedup.exact_duplicates(docs, keep="largest")
 
 
+def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents", "doc_id", "text")
+    return token_count.count_tokens(docs, vocabulary("byte_bpe_50k.json"), pretoken_pattern(), limit=1024)
+
+
+def op7_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents", "doc_id", "text")
+    return bpe.round_trip(docs, vocabulary("byte_bpe_50k.tiktoken"), pretoken_pattern())
+
+
 def op8_shard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.assign_shards(read_table(spark, sf_dir, "documents", "doc_id", "text"), shards=16)
 
 
-QUERIES = {f.__name__: f for f in (op1_mix_sources, op5_exact_dedup, op8_shard)}
+QUERIES = {
+    f.__name__: f
+    for f in (op1_mix_sources, op4_license_scan, op5_exact_dedup, op6_token_counts, op7_byte_bpe, op8_shard)
+}
 
 
 def _case(column: str, weights: dict[str, int]) -> str:
