@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rowdex.llm import bpe, exact_dedup, licenses, mixing, sharding, token_count
-from rowdex.llm._common import read_table
+from rowdex.llm import bpe, exact_dedup, langid, licenses, mixing, sharding, token_count, toxicity
+from rowdex.llm._common import id_crc, read_table
 
 #: Target weights of the mixture, by level of its tree.
 MIX_WEIGHTS = {
@@ -30,6 +30,22 @@ def op1_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents", "doc_id", "text")
+    labels = read_table(spark, sf_dir, "labels", "doc_id", "toxic")
+    held_out = id_crc(F.col("doc_id")) % 5 == 0
+    model = toxicity.train(docs, labels.filter(~held_out), "text", "doc_id", F.col("toxic"))
+    scored = toxicity.score(docs, model, [F.col("doc_id"), held_out.alias("held_out")])
+    return scored.withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
+
+
+def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents", "doc_id", "text", "lang")
+    held_out = id_crc(F.col("doc_id")) % 4 == 2
+    model = langid.train(docs.filter(~held_out), F.col("lang"), F.col("text"), F.col("doc_id"))
+    return langid.identify(docs, model, [F.col("doc_id"), held_out.alias("held_out")])
+
+
 def vocabulary(name: str) -> str:
     """Path of a file of the public tokenizers."""
     import public_tokenizers
@@ -68,7 +84,10 @@ def op8_shard(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (op1_mix_sources, op4_license_scan, op5_exact_dedup, op6_token_counts, op7_byte_bpe, op8_shard)
+    for f in (
+        op1_mix_sources, op2_toxicity, op3_language_id, op4_license_scan, op5_exact_dedup, op6_token_counts,
+        op7_byte_bpe, op8_shard,
+    )
 }
 
 
