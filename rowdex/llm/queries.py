@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rowdex.llm import bpe, exact_dedup, fingerprint, langid, licenses, mixing, sharding, token_count, toxicity
+from rowdex.llm import bpe, exact_dedup, fingerprint, langid, licenses, mixing, ngram_join, sharding, token_count, toxicity
 from rowdex.llm._common import id_crc, read_table
 
 #: Target weights of the mixture, by level of its tree.
@@ -82,6 +82,10 @@ def op8_shard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.assign_shards(read_table(spark, sf_dir, "documents", "doc_id", "text"), shards=16)
 
 
+def op9_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.similar_documents(read_table(spark, sf_dir, "documents", "doc_id", "text"))
+
+
 def op10_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprint.edit_report(read_table(spark, sf_dir, "documents", "doc_id", "text"))
 
@@ -90,7 +94,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         op1_mix_sources, op2_toxicity, op3_language_id, op4_license_scan, op5_exact_dedup, op6_token_counts,
-        op7_byte_bpe, op8_shard, op10_fingerprints,
+        op7_byte_bpe, op8_shard, op9_ngram_jaccard, op10_fingerprints,
     )
 }
 
