@@ -11,15 +11,18 @@ blocks, and each block only as far as the sizes of its rows require:
    this one keeps passages that many documents share out of the prefixes.
 2. A candidate pair needs sizes within 0.8 of each other and, from the places of
    the shared n-gram, room for the overlap that its sizes require.
-3. Blocks of rows with one centre are multiplied on numpy arrays: the centre's
-   n-grams select columns, and sums by row are the overlap counts.
-
-Documents with one and the same set are one row of the matrix. Not all pairs
-inside a group of near copies are formed: first each column's rows meet one
-centre (chosen anew by a seeded hash, for each band of sizes), and the links
-found join rows into components. These rounds go on while the pairs still open
-are many. Then every pair of rows that share a prefix column and lie in
-different components is tested, so no link between components is lost.
+3. Blocks of rows are multiplied on numpy arrays, column block by column block:
+   columns that many rows have as dense products, the others entry by entry.
+
+Documents with one and the same set are one row of the matrix. The pairs inside
+a group of near copies are not formed: first each column's rows meet one centre
+for each band of sizes, and the links found join rows into components. These
+rounds go on while they close many of the pairs that are open. Then every pair
+of rows that share a prefix column and lie in different components is tested, so
+no link between components is lost: as a row of a table where a column leaves
+few such pairs, and where it leaves many inside blocks, which hold bounded
+numbers of rows and n-grams and give back links only. In a block stand rows
+outside their group's main component against rows of the whole group.
 
 Links are exact but for equal 64-bit hashes of different n-grams. Defined
 results: a text with fewer words than ``n`` is one n-gram; without words (or
@@ -49,6 +52,9 @@ WORDS, PERCENT = 5, 80
 CELL_BITS, BLOCK_BITS = 21, 12
 #: Rounds with centres end when open pairs are fewer than this many for each prefix entry.
 OPEN_PAIRS, MOST_ROUNDS = 0.5, 12
+#: A column with more open pairs is left to blocks; rows and n-grams of a block's two sides.
+WIDE_PAIRS = 200
+LEFT_ROWS, RIGHT_ROWS, LEFT_GRAMS, RIGHT_GRAMS = 1024, 4096, 200_000, 800_000
 
 SMALL = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 IS_SPACE = np.array([b in (9, 10, 11, 12, 13, 32) for b in range(256)])
@@ -206,30 +212,98 @@ def _within(percent: int):
     return sizes & (room >= needed("size", "size2", percent))
 
 
+def product(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
+    """Overlap counts of all rows of ``left`` with all of ``right``."""
+    out = np.zeros((len(left), len(right)), np.float32)
+    lc, rc = np.concatenate(left), np.concatenate(right)
+    lrow = np.repeat(np.arange(len(left)), [len(x) for x in left])
+    rrow = np.repeat(np.arange(len(right)), [len(x) for x in right])
+    both = np.intersect1d(lc, rc)
+    if not len(both):
+        return out
+    at = np.minimum(np.searchsorted(both, lc), len(both) - 1)
+    lin = both[at] == lc
+    lcol, lrow = at[lin], lrow[lin]
+    at = np.minimum(np.searchsorted(both, rc), len(both) - 1)
+    rin = both[at] == rc
+    rcol, rrow = at[rin], rrow[rin]
+    nl, nr = np.bincount(lcol, minlength=len(both)), np.bincount(rcol, minlength=len(both))
+    dense = nl * nr > out.size / 100
+    for some in np.array_split(np.flatnonzero(dense), max(1, -(-int(dense.sum()) // 512))):
+        if len(some):
+            a, b = np.zeros((len(left), len(some)), np.float32), np.zeros((len(right), len(some)), np.float32)
+            for rows, cols, part in ((lrow, lcol, a), (rrow, rcol, b)):
+                place = np.minimum(np.searchsorted(some, cols), len(some) - 1)
+                hit = some[place] == cols
+                part[rows[hit], place[hit]] = 1
+            out += a @ b.T
+    # the other columns: each right entry with all left entries of its column
+    order = np.argsort(lcol, kind="stable")
+    lrow, first = lrow[order], np.r_[0, np.cumsum(nl)][:-1]
+    thin = ~dense[rcol]
+    rcol, rrow = rcol[thin], rrow[thin]
+    upto = np.cumsum(nl[rcol])
+    start = 0
+    while start < len(rcol):
+        end = max(start + 1, int(np.searchsorted(upto, (upto[start - 1] if start else 0) + 4_000_000, "right")))
+        times = nl[rcol[start:end]]
+        within = np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times)
+        np.add.at(out, (lrow[np.repeat(first[rcol[start:end]], times) + within], np.repeat(rrow[start:end], times)), 1)
+        start = end
+    return out
+
+
+def linked(overlap: np.ndarray, left: np.ndarray, right: np.ndarray, percent: int) -> np.ndarray:
+    return 100 * overlap >= percent * (left[:, None] + right[None, :] - overlap)
+
+
+def _sets_of(column: pa.Array) -> list[np.ndarray]:
+    return [np.frombuffer(x.as_py(), np.uint64) for x in column]
+
+
 def _multiply(percent: int):
     """Links among pairs (a, b) that come with their sets, sorted by a: a block
     is a run of rows with one centre a."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            a, b = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-            left, right = batch.column(2), batch.column(3)
+            a, b = batch.column(0).to_numpy(), batch.column(1).to_numpy()
             keep = []
-            start = 0
-            while start < len(a):
-                end = start
-                while end < len(a) and a[end] == a[start] and end - start < 256:
-                    end += 1
-                centre = np.frombuffer(left[start].as_py(), np.uint64)
-                block = [np.frombuffer(right[k].as_py(), np.uint64) for k in range(start, end)]
-                size = np.array([len(x) for x in block])
-                columns = np.concatenate(block)
-                at = np.minimum(np.searchsorted(centre, columns), len(centre) - 1)
-                overlap = np.add.reduceat((centre[at] == columns).astype(np.int64), np.r_[0, np.cumsum(size)[:-1]])
-                joined = size + len(centre) - overlap
-                keep += (start + np.flatnonzero(100 * overlap >= percent * joined)).tolist()
-                start = end
-            yield pa.RecordBatch.from_arrays([pa.array([a[k] for k in keep], pa.int64()), pa.array([b[k] for k in keep], pa.int64())], ["a", "b"])
+            starts = np.flatnonzero(np.r_[True, a[1:] != a[:-1]]) if len(a) else a
+            for start, end in zip(starts, [*starts[1:], len(a)], strict=True):
+                for at in range(start, end, 256):
+                    right = _sets_of(batch.column(3).slice(at, min(256, end - at)))
+                    left = _sets_of(batch.column(2).slice(start, 1))
+                    sizes = np.array([len(x) for x in right])
+                    found = linked(product(left, right), np.array([len(left[0])]), sizes, percent)
+                    keep.append(at + np.flatnonzero(found[0]))
+            keep = np.concatenate(keep) if keep else np.zeros(0, int)
+            yield pa.RecordBatch.from_arrays([pa.array(a[keep], pa.int64()), pa.array(b[keep], pa.int64())], ["a", "b"])
+
+    return run
+
+
+def _block(percent: int):
+    """Links of one block between rows of different components, one for each row
+    of its left side and component."""
+
+    def run(table: pa.Table) -> pa.Table:
+        side = table.column("side").to_numpy()
+        ids, kinds = table.column("rep").to_numpy(), table.column("component").to_numpy()
+        sets = _sets_of(table.column("grams"))
+        left, right = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
+        pairs = set()
+        if len(left) and len(right):
+            sizes = np.array([len(x) for x in sets])
+            found = linked(product([sets[k] for k in left], [sets[k] for k in right]), sizes[left], sizes[right], percent)
+            found &= kinds[left][:, None] != kinds[right][None, :]
+            seen = set()
+            for x, y in zip(*np.nonzero(found), strict=True):
+                if (x, kinds[right[y]]) not in seen:
+                    seen.add((x, kinds[right[y]]))
+                    pairs.add((int(ids[left[x]]), int(ids[right[y]])))
+        a, b = map(list, zip(*sorted(pairs), strict=True)) if pairs else ([], [])
+        return pa.table([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
 
     return run
 
@@ -290,7 +364,9 @@ class Join:
     def centred(self, labelled: DataFrame, turn: int) -> DataFrame:
         """Pairs of each column's rows with a centre, one for each band of sizes."""
         band = F.floor(F.log(F.col("size").cast("double")) / F.log(F.lit(1.25)) + F.lit(0.5 * (turn % 2)))
-        rows = labelled.withColumns({"band": band, "key": F.xxhash64(F.lit(self.seed), F.lit(turn), "rep")})
+        chance = F.xxhash64(F.lit(self.seed), F.lit(turn), "rep")
+        # a row that holds few rare n-grams has common ones at an early place: it is near the middle of a group
+        rows = labelled.withColumns({"band": band, "key": F.struct(F.col("place") if turn < 2 else F.lit(0), chance)})
         centre = rows.groupBy("gram", "band").agg(
             F.min(F.struct("key", F.col("rep").alias("rep2"), F.col("component").alias("component2"), F.col("size").alias("size2"), F.col("place").alias("place2"))).alias("m"),
             F.count(F.lit(1)).alias("c"),
@@ -300,25 +376,58 @@ class Join:
         return met.select(F.col("rep2").alias("a"), F.col("rep").alias("b")).distinct()
 
     def crossing(self, labelled: DataFrame) -> DataFrame:
-        """All pairs of rows that share a column and lie in different components."""
-        kinds = staged(labelled.select("gram", "component").distinct(), "kinds")
+        """Links between components, of all rows that share a column with another
+        component. labelled: also has ``across``, the open pairs of the column."""
+        narrow = labelled.filter(F.col("across") <= WIDE_PAIRS)
+        kinds = staged(narrow.select("gram", "component").distinct(), "kinds")
         two = kinds.join(kinds.select("gram", F.col("component").alias("component2")), "gram").filter("component < component2")
-        other = labelled.select(
+        other = narrow.select(
             "gram", F.col("component").alias("component2"), F.col("rep").alias("rep2"), F.col("size").alias("size2"), F.col("place").alias("place2")
         )
-        met = two.join(labelled, ["gram", "component"]).join(other, ["gram", "component2"]).filter(_within(self.percent))
-        return met.select(F.least("rep", "rep2").alias("a"), F.greatest("rep", "rep2").alias("b")).distinct()
+        met = two.join(narrow, ["gram", "component"]).join(other, ["gram", "component2"]).filter(_within(self.percent))
+        found = self.test(met.select(F.least("rep", "rep2").alias("a"), F.greatest("rep", "rep2").alias("b")).distinct())
+        wide = staged(labelled.filter(F.col("across") > WIDE_PAIRS), "wide")
+        return found.unionByName(self.blocks(wide)) if wide.take(1) else found
+
+    def blocks(self, wide: DataFrame) -> DataFrame:
+        """The same for columns with many open pairs. Rows that such columns
+        connect are one group, in which each pair is met in one block."""
+        heads = wide.groupBy("gram").agg(F.min("rep").alias("a"))
+        groups = components(wide.join(heads, "gram").select("a", F.col("rep").alias("b"))).select(F.col("v").alias("rep"), F.col("component").alias("team"))
+        rows = wide.groupBy("rep").agg(F.min("component").alias("component"), F.min("size").cast("long").alias("size"))
+        rows = staged(rows.join(groups, "rep"), "teams")
+        kinds = rows.groupBy("team", "component").agg(F.count(F.lit(1)).alias("c"), F.sum("size").alias("g"))
+        sides = kinds.groupBy("team").agg(
+            F.sum("c").alias("c"), F.sum("g").alias("g"), F.max(F.struct("c", "component", "g")).alias("main")
+        )
+        cut = lambda c, g, most_c, most_g: F.greatest(F.lit(1), F.ceil(c / most_c), F.ceil(g / most_g)).cast("int")
+        sides = staged(
+            sides.select(
+                "team", F.col("main.component").alias("main"),
+                cut(F.col("c") - F.col("main.c"), F.col("g") - F.col("main.g"), LEFT_ROWS, LEFT_GRAMS).alias("lefts"),
+                cut(F.col("c"), F.col("g"), RIGHT_ROWS, RIGHT_GRAMS).alias("rights"),
+            ),
+            "sides",
+        )
+        rows = rows.join(sides, "team").withColumn("h", F.xxhash64(F.lit(self.seed), "rep"))
+        upto = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+        left = rows.filter("component <> main").select("team", "rep", "component", F.lit(0).alias("side"), F.pmod("h", F.col("lefts")).cast("int").alias("i"), upto("rights").alias("j"))
+        right = rows.select("team", "rep", "component", F.lit(1).alias("side"), upto("lefts").alias("i"), F.pmod("h", F.col("rights")).cast("int").alias("j"))
+        sets = self.sets.select(F.col("id").alias("rep"), "grams")
+        held = left.unionByName(right).join(sets, "rep")
+        return held.groupBy("team", "i", "j").applyInArrow(_block(self.percent), "a long, b long")
 
     def label(self, found: DataFrame | None) -> tuple[DataFrame, int, int]:
         """Entries with their component, of columns that more than one component
-        has; their number, and how many pairs lie across."""
+        has; their number, and how many pairs lie across (also for each column)."""
         rows = self.entries if found is None else self.entries.join(found.withColumnRenamed("v", "rep"), "rep", "left")
         rows = rows.withColumn("component", F.col("rep") if found is None else F.coalesce("component", "rep"))
         by_kind = rows.groupBy("gram", "component").agg(F.count(F.lit(1)).alias("c"))
         open_columns = by_kind.groupBy("gram").agg(F.sum("c").alias("all"), F.sum(F.col("c") * F.col("c")).alias("same"), F.count(F.lit(1)).alias("kinds"))
-        open_columns = staged(open_columns.filter("kinds > 1"), "open-columns")
-        sums = open_columns.agg(F.sum("all"), F.sum((F.col("all").cast("double") * F.col("all") - F.col("same")) / 2)).first()
-        labelled = staged(rows.join(open_columns.select("gram"), "gram", "left_semi"), "labelled")
+        across = (F.col("all").cast("double") * F.col("all") - F.col("same")) / 2
+        open_columns = staged(open_columns.filter("kinds > 1").select("gram", "all", across.alias("across")), "open-columns")
+        sums = open_columns.agg(F.sum("all"), F.sum("across")).first()
+        labelled = staged(rows.join(open_columns.select("gram", "across"), "gram"), "labelled")
         return labelled, int(sums[0] or 0), int(sums[1] or 0)
 
     def run(self) -> DataFrame:
@@ -329,7 +438,7 @@ class Join:
             if not held:
                 break
             if across <= OPEN_PAIRS * held or (before is not None and across > 0.8 * before):
-                links = self._more(links, self.test(self.crossing(labelled)))
+                links = self._more(links, self.crossing(labelled))
                 found = components(links)
                 break
             links = self._more(links, self.test(self.centred(labelled, turn)))
@@ -337,7 +446,7 @@ class Join:
         else:
             labelled, held, _ = self.label(found)
             if held:
-                found = components(self._more(links, self.test(self.crossing(labelled))))
+                found = components(self._more(links, self.crossing(labelled)))
         return found
 
     def _more(self, links: DataFrame | None, new: DataFrame) -> DataFrame:
