@@ -115,7 +115,8 @@ def _texts(column: pa.Array) -> list[str]:
 
 
 def encode(docs: DataFrame, vocabulary: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """id, ids (array of int) and offsets (array of start and end) of each text."""
+    """id, ids (array of int) and offsets (array of start and end) of each text.
+    Where no offsets are asked for, ``round_trip`` gives ids for less work."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         code = codec(vocabulary, pattern)
@@ -144,22 +145,26 @@ def decode(rows: DataFrame, vocabulary: str, pattern: str, id_col: str = "doc_id
     return rows.select(id_col, ids_col).mapInArrow(run, f"`{id_col}` {kind}, text string")
 
 
-def round_trip(docs: DataFrame, vocabulary: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def round_trip(docs: DataFrame, vocabulary: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = False) -> DataFrame:
     """One row for each text: id, n_tokens, and SHA-256 of its ids (decimal, one
-    space between) and of the bytes that these ids decode to."""
+    space between) and of the bytes that these ids decode to; on demand the ids."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         code = codec(vocabulary, pattern)
         for batch in batches:
-            sizes, named, decoded = [], [], []
+            sizes, named, decoded, kept = [], [], [], []
             for texts in in_pieces(_texts(batch.column(1))):
                 for ids in code.encode(texts):
                     sizes.append(len(ids))
                     named.append(hashlib.sha256(" ".join(map(code.digits.__getitem__, ids)).encode()).hexdigest())
                     decoded.append(hashlib.sha256(code.decode(ids)).hexdigest())
+                    if with_ids:
+                        kept.append(np.array(ids, np.int32))
             columns = [batch.column(0), pa.array(sizes, pa.int64()), pa.array(named, pa.string()), pa.array(decoded, pa.string())]
-            yield pa.RecordBatch.from_arrays(columns, [id_col, "n_tokens", "ids_sha256", "decoded_sha256"])
+            if with_ids:
+                columns.append(pa.array(kept, pa.list_(pa.int32())))
+            yield pa.RecordBatch.from_arrays(columns, [id_col, "n_tokens", "ids_sha256", "decoded_sha256", "ids"][: len(columns)])
 
     kind = docs.schema[id_col].dataType.simpleString()
-    schema = f"`{id_col}` {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string"
+    schema = f"`{id_col}` {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * with_ids
     return docs.select(id_col, docs[text_col].cast("string")).mapInArrow(run, schema)

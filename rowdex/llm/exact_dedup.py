@@ -121,6 +121,13 @@ def exact_duplicates(
 
 
 def drop_exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: str = "smallest") -> DataFrame:
-    """The rows of ``docs`` that stay, with all their columns."""
-    dropped = exact_duplicates(docs, id_col, text_col, keep).filter(~F.col("kept")).select(F.col(id_col).alias("__gone"))
-    return docs.join(dropped.distinct(), docs[id_col].eqNullSafe(F.col("__gone")), "left_anti")
+    """The rows of ``docs`` that stay, with all their columns; one of rows that
+    repeat both id and text."""
+    verdicts = staged(exact_duplicates(docs, id_col, text_col, keep).select(F.col(id_col).alias("__id"), "kept", F.unhex("text_sha256").alias("__s")), "verdicts")
+    text = ascii_lower(F.coalesce(F.col(text_col).cast("string"), F.lit("")))
+    marked = docs.withColumn("__sha", F.unhex(F.sha2(text, 256)))
+    gone = verdicts.filter(~F.col("kept")).select("__id", "__s").distinct()
+    left = marked.join(gone, marked[id_col].eqNullSafe(F.col("__id")) & (F.col("__sha") == F.col("__s")), "left_anti")
+    if verdicts.filter("kept").groupBy("__id", "__s").count().filter("count > 1").take(1):
+        left = left.dropDuplicates([id_col, "__sha"])
+    return left.drop("__sha")

@@ -468,6 +468,6 @@ def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
 
 def drop_similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = WORDS, percent: int = PERCENT) -> DataFrame:
     """The rows of ``docs`` that stay, one document of each component: the one
-    with the smallest id. Rows without an id stay unless their set is elsewhere."""
+    with the smallest id. Rows without an id stay."""
     found = similar_documents(docs, id_col, text_col, n, percent).filter(F.col("component_id") != F.col(id_col))
     return docs.join(found.select(F.col(id_col).alias("__gone")).distinct(), docs[id_col] == F.col("__gone"), "left_anti")
