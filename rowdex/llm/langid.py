@@ -9,7 +9,7 @@ compressed rows, times that dense matrix: values are gathered by bucket and
 summed by row.
 
 The sample: up to ``per_language`` texts of each language, the first in the
-order of a seeded hash of the id; the limit holds before rows are shuffled.
+order of a seeded hash of the id; rows past four times that do not take part.
 Whole texts are read in training and in scoring, some at a time. Defined
 results: null text, or text without a letter, is ``und`` with score 0; with
 nothing to learn from, every text is ``und``; ties between languages go to the
@@ -117,12 +117,16 @@ class Model:
 
 
 def train(docs: DataFrame, lang: Column, text: Column, ident: Column, per_language: int = PER_LANGUAGE, seed: int = 5) -> Model:
-    """Learns from up to ``per_language`` rows of each language (at most 1000:
-    up to there Spark limits each task's rows before the shuffle)."""
+    """Learns from up to ``per_language`` rows of each language."""
     rows = docs.select(lang.cast("string").alias("lang"), text.cast("string").alias("text"), ident.cast("string").alias("__id"))
     rows = rows.filter("lang is not null and text is not null")
-    order = Window.partitionBy("lang").orderBy(F.xxhash64(F.lit(seed), "__id"), "__id")
-    chosen = rows.select("lang", "__id").withColumn("r", F.row_number().over(order)).filter(F.col("r") <= per_language)
+    place = F.xxhash64(F.lit(seed), "__id")
+    order = Window.partitionBy("lang").orderBy(place, "__id")
+    # hashes are even: the first rows of a language lie below a bound that its count gives
+    counts = rows.groupBy("lang").agg(F.count(F.lit(1)).alias("c"))
+    bound = F.least(F.lit(1.0), F.lit(4.0 * per_language) / F.col("c")) * 2.0**64 - 2.0**63
+    near = rows.select("lang", "__id").join(counts, "lang").filter(place.cast("double") <= bound)
+    chosen = near.withColumn("r", F.row_number().over(order)).filter(F.col("r") <= per_language)
     chosen = staged(chosen.select("lang", "__id").distinct(), "langid-ids")
     sample = staged(rows.join(chosen, ["lang", "__id"]).select("lang", "text"), "langid")
 
