@@ -54,7 +54,9 @@ def _weight(level: str, weights: Mapping[str, int] | None) -> Column:
 
 def share(nodes: DataFrame, parents: list[str], order: list[str]) -> DataFrame:
     """nodes: __budget (of the parent), __cap, __w. Adds __got, the node's part:
-    the smaller of its capacity and its weight times the common level."""
+    the smaller of its capacity and its weight times the common level. With the
+    k-1 first nodes full, the k-th has a level for the rest; it is right from the
+    first node that it does not fill, and falls from there on."""
     rank = [F.col("__cap") / F.col("__w"), *[F.col(c) for c in order]]
     before = Window.partitionBy(*parents).orderBy(*rank).rowsBetween(Window.unboundedPreceding, -1)
     whole = Window.partitionBy(*parents)
@@ -63,7 +65,7 @@ def share(nodes: DataFrame, parents: list[str], order: list[str]) -> DataFrame:
     level = (F.col("__budget") - full).cast("double") / open_w
     return (
         nodes.withColumn("__level", level)
-        .withColumn("__level", F.min(F.when(F.col("__level") <= F.col("__cap") / F.col("__w"), F.col("__level"))).over(whole))
+        .withColumn("__level", F.max(F.when(F.col("__level") <= F.col("__cap") / F.col("__w"), F.col("__level"))).over(whole))
         .withColumn("__got", F.floor(F.least(F.col("__cap").cast("double"), F.coalesce(F.col("__level") * F.col("__w"), F.col("__cap").cast("double")))))
         .drop("__level")
     )

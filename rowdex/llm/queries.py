@@ -110,7 +110,7 @@ def _share_sql(name: str, given: str, parents: str, level: str, weight: str) ->
 {name}_n AS (SELECT *, (b - coalesce(sum(cap) OVER p, 0))::DOUBLE / (sum(w) OVER (PARTITION BY {parents}) - coalesce(sum(w) OVER p, 0)) AS lv
   FROM (SELECT {parents}, {level}, {weight} AS w, sum(cap) AS cap FROM caps GROUP BY {parents}, {level}) JOIN {given} {on}
   WINDOW p AS (PARTITION BY {parents} ORDER BY cap / w, {level} ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
-{name} AS (SELECT {parents}, {level}, floor(least(cap::DOUBLE, coalesce(min(lv) FILTER (lv <= cap / w) OVER (PARTITION BY {parents}) * w, cap::DOUBLE)))::BIGINT AS b FROM {name}_n)"""
+{name} AS (SELECT {parents}, {level}, floor(least(cap::DOUBLE, coalesce(max(lv) FILTER (lv <= cap / w) OVER (PARTITION BY {parents}) * w, cap::DOUBLE)))::BIGINT AS b FROM {name}_n)"""
 
 
 ORACLE_SQL = {
