@@ -5,7 +5,7 @@ toxic texts of the training sample hold far more often than others), the same
 words near a second-person pronoun, capitals and words all in capitals,
 exclamation marks and repeated punctuation, and obfuscated words (digits or
 signs between letters, letters set apart), also those that read as a word of a
-lexicon once undone. The trees are boosted on the logistic loss over binned
+lexicon once undone. In training, a row is measured by lexicons that other rows made. The trees are boosted on the logistic loss over binned
 features; raw sums of trees that did not see a row calibrate the score.
 
 The sample: up to ``most`` labelled texts, the first in the order of a seeded
@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 
 from rowdex.llm._common import staged
 
-SAMPLE, LEXICON, NEAR = 20_000, 400, 4
+SAMPLE, LEXICON, NEAR, FOLDS = 20_000, 400, 4, 3
 WORD = re.compile(r"[^\W\d_]+")
 BROKEN = re.compile(r"\b[^\W\d_]+[0-9@$!*|]+[^\W\d_]+[\w@$!*|]*|\b[^\W\d_](?:[.\-_* ][^\W\d_]){3,}\b")
 RUNS = re.compile(r"[!?]{2,}|\.{4,}")
@@ -78,7 +78,7 @@ def features(text: str | None, strong: frozenset[str], weak: frozenset[str]) ->
 class Trees:
     """Boosted trees of one depth: each level of a tree splits all its nodes."""
 
-    def __init__(self, rounds: int = 60, depth: int = 3, rate: float = 0.15, bins: int = 32, ridge: float = 2.0, least: float = 4.0):
+    def __init__(self, rounds: int = 60, depth: int = 3, rate: float = 0.15, bins: int = 32, ridge: float = 1.0, least: float = 1.0):
         self.rounds, self.depth, self.rate, self.bins, self.ridge, self.least = rounds, depth, rate, bins, ridge, least
 
     def fit(self, x: np.ndarray, y: np.ndarray) -> Trees:
@@ -148,8 +148,8 @@ class Model:
         if len(set(y.tolist())) < 2:
             return
         unseen = np.zeros(len(y))
-        for k in range(3):
-            inside = folds % 3 == k
+        for k in range(FOLDS):
+            inside = folds == k
             if inside.any() and len(set(y[~inside].tolist())) == 2:
                 unseen[inside] = Trees().fit(x[~inside], y[~inside]).raw(x[inside])
         self.curve = isotonic(unseen, y)
@@ -162,23 +162,30 @@ class Model:
         return np.clip(np.interp(self.trees.raw(x), *self.curve), 0.0, 1.0)
 
 
-def lexicons(sample: DataFrame) -> tuple[frozenset[str], frozenset[str]]:
-    """Strong and weak lexicon: by log-odds of the texts that hold a word, and
-    by how sure these are. At most ``LEXICON`` words each."""
-    totals = sample.agg(F.sum("label").alias("p"), F.count(F.lit(1)).alias("n")).first()
-    p, q = float(totals["p"] or 0), float(totals["n"]) - float(totals["p"] or 0)
-    words = sample.select("label", F.explode(F.array_distinct(F.split(F.lower("text"), r"[^\p{L}]+"))).alias("word")).filter("word <> ''")
-    a, b = F.col("a"), F.col("b")
-    odds = F.log((a + 0.5) / (p - a + 0.5)) - F.log((b + 0.5) / (q - b + 0.5))
-    found = (
-        words.groupBy("word")
-        .agg(F.sum("label").alias("a"), F.sum(1 - F.col("label")).alias("b"))
-        .filter("a >= 3")
-        .select("word", odds.alias("odds"), (odds / F.sqrt(1 / (a + 0.5) + 1 / (b + 0.5))).alias("sure"))
-    )
-    top = lambda rows: frozenset(r["word"] for r in rows.orderBy(F.desc("sure"), "word").limit(LEXICON).collect())
-    strong = top(found.filter("odds >= 2 and sure >= 4"))
-    return strong, top(found.filter("odds >= 0.7 and sure >= 3")) - strong
+def lexicons(sample: DataFrame) -> list[tuple[frozenset[str], frozenset[str]]]:
+    """Strong and weak lexicon, of at most ``LEXICON`` words each, by log-odds of
+    the texts that hold a word and by how sure these are: learned without the
+    rows of each fold, and last from all rows."""
+    part = lambda k: F.when(F.col("fold") == k, 1).otherwise(0)
+    sums = [F.sum(F.col("label") * part(k)).alias(f"a{k}") for k in range(FOLDS)]
+    sums += [F.sum((1 - F.col("label")) * part(k)).alias(f"b{k}") for k in range(FOLDS)]
+    totals = sample.agg(*sums).first().asDict()
+    words = sample.select("label", "fold", F.explode(F.array_distinct(F.split(F.lower("text"), r"[^\p{L}]+"))).alias("word"))
+    table = staged(words.filter("word <> ''").groupBy("word").agg(*sums).filter(" + ".join(f"a{k}" for k in range(FOLDS)) + " >= 3"), "words")
+
+    def learn(folds: list[int]) -> tuple[frozenset[str], frozenset[str]]:
+        p, q = (float(sum(totals[f"{x}{k}"] or 0 for k in folds)) for x in "ab")
+        a, b = (sum((F.col(f"{x}{k}") for k in folds), F.lit(0)) for x in "ab")
+        odds = F.log((a + 0.5) / (p - a + 0.5)) - F.log((b + 0.5) / (q - b + 0.5))
+        expected = (a + b) * (p / (p + q) if p and q else 0.5)
+        # G-statistic of the word's texts being toxic at the common rate
+        sure = 2 * (a * F.log(a / expected) + F.when(b > 0, b * F.log(b / (a + b - expected))).otherwise(0))
+        found = table.filter(a >= 3).select("word", odds.alias("odds"), sure.alias("sure"))
+        top = lambda rows: frozenset(r["word"] for r in rows.orderBy(F.desc("sure"), "word").limit(LEXICON).collect())
+        strong = top(found.filter("odds >= 2 and sure >= 20"))
+        return strong, top(found.filter("odds >= 0.7 and sure >= 11")) - strong
+
+    return [learn([k for k in range(FOLDS) if k != left]) for left in range(FOLDS)] + [learn(list(range(FOLDS)))]
 
 
 def train(docs: DataFrame, labels: DataFrame, text_col: str, id_col: str, label: Column, most: int = SAMPLE, seed: int = 3) -> Model:
@@ -188,17 +195,21 @@ def train(docs: DataFrame, labels: DataFrame, text_col: str, id_col: str, label:
     chosen = staged(marked.orderBy(F.xxhash64(F.lit(seed), F.col("__id").cast("string")), "__id").limit(most), "toxicity-ids")
     texts = docs.select(F.col(id_col).alias("__id"), F.coalesce(docs[text_col].cast("string"), F.lit("")).alias("text"))
     # bounded by ``most`` ids
-    sample = staged(texts.join(F.broadcast(chosen), "__id").limit(4 * most), "toxicity")
-    strong, weak = lexicons(sample)
+    fold = F.pmod(F.xxhash64(F.lit(seed + 1), F.col("__id").cast("string")), F.lit(FOLDS)).cast("int")
+    sample = staged(texts.join(F.broadcast(chosen), "__id").withColumn("fold", fold), "toxicity")
+    words = lexicons(sample)
 
     def measure(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            rows = [features(t, strong, weak) for t in batch["text"]]
-            yield pd.DataFrame(rows, columns=list(FEATURES)).assign(label=batch["label"].to_numpy(), id=batch["__id"].astype(str).to_numpy())
+            # a row's words did not make the lexicon that it is measured by
+            rows = [features(t, *words[k]) for t, k in zip(batch["text"], batch["fold"], strict=True)]
+            out = pd.DataFrame(rows, columns=list(FEATURES))
+            yield out.assign(label=batch["label"].to_numpy(), fold=batch["fold"].to_numpy(), id=batch["__id"].astype(str).to_numpy())
 
-    schema = ", ".join(f"{f} double" for f in FEATURES) + ", label int, id string"
+    schema = ", ".join(f"{f} double" for f in FEATURES) + ", label int, fold int, id string"
     table = sample.mapInPandas(measure, schema).toPandas().sort_values(["id", *FEATURES])
-    return Model(strong, weak, table[list(FEATURES)].to_numpy(float), table["label"].to_numpy(float), np.arange(len(table)))
+    x, y = table[list(FEATURES)].to_numpy(float), table["label"].to_numpy(float)
+    return Model(*words[FOLDS], x, y, table["fold"].to_numpy())
 
 
 def score(docs: DataFrame, model: Model, columns: list[Column], text_col: str = "text", name: str = "score") -> DataFrame:
