@@ -10,7 +10,9 @@ blocks, and each block only as far as the sizes of its rows require:
    counts of all documents in a table of fixed size; any order gives all links,
    this one keeps passages that many documents share out of the prefixes.
 2. A candidate pair needs sizes within 0.8 of each other and, from the places of
-   the shared n-gram, room for the overlap that its sizes require.
+   the shared n-gram, room for the overlap that its sizes require. Then its
+   sketches, a bit of parity for each class of hashes, must not differ in more
+   places than the sets may. Only rows of pairs that pass are read in whole.
 3. Blocks of rows are multiplied on numpy arrays, column block by column block:
    columns that many rows have as dense products, the others entry by entry.
 
@@ -49,7 +51,7 @@ from rowdex.llm.token_count import in_pieces
 
 WORDS, PERCENT = 5, 80
 #: Cells of the table of counts, and the blocks in which it is summed.
-CELL_BITS, BLOCK_BITS = 21, 12
+CELL_BITS, BLOCK_BITS = 22, 12
 #: Rounds with centres end when open pairs are fewer than this many for each prefix entry.
 OPEN_PAIRS, MOST_ROUNDS = 0.5, 12
 #: A column with more open pairs is left to blocks; rows and n-grams of a block's two sides.
@@ -90,6 +92,27 @@ def ngram_sets(texts: list[str], n: int = WORDS) -> list[np.ndarray]:
     return out
 
 
+def sketch(grams: np.ndarray) -> bytes:
+    """Parities of the numbers of n-grams by class, a bit for each; about as many
+    classes as n-grams. Sets differ in at least as many places as their sketches."""
+    bits = max(64, 1 << (len(grams) - 1).bit_length()) if len(grams) else 64
+    classes = (grams >> np.uint64(20)) & np.uint64(bits - 1)
+    return np.packbits(np.bincount(classes.astype(np.int64), minlength=bits).astype(np.uint8) & 1, bitorder="little").tobytes()
+
+
+def sketch_distance(left: bytes, right: bytes) -> int:
+    """In how many places two sketches differ; the wider one is folded first."""
+    a, b = int.from_bytes(left, "little"), int.from_bytes(right, "little")
+    n, m = 8 * len(left), 8 * len(right)
+    while n > m:
+        n //= 2
+        a = (a >> n) ^ (a & ((1 << n) - 1))
+    while m > n:
+        m //= 2
+        b = (b >> m) ^ (b & ((1 << m) - 1))
+    return (a ^ b).bit_count()
+
+
 def set_name(grams: np.ndarray) -> bytes | None:
     return hashlib.blake2b(grams.tobytes(), digest_size=16).digest() if len(grams) else None
 
@@ -212,6 +235,20 @@ def _within(percent: int):
     return sizes & (room >= needed("size", "size2", percent))
 
 
+def _near(percent: int):
+    """Pairs (a, b) whose sketches and sizes leave room for a link."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            a, b, size, size2 = (batch.column(k).to_numpy() for k in range(4))
+            apart = [sketch_distance(x, y) for x, y in zip(batch.column(4).to_pylist(), batch.column(5).to_pylist(), strict=True)]
+            both = size + size2
+            keep = np.array(apart, np.int64) <= both - 2 * -(-percent * both // (100 + percent))
+            yield pa.RecordBatch.from_arrays([pa.array(a[keep], pa.int64()), pa.array(b[keep], pa.int64())], ["a", "b"])
+
+    return run
+
+
 def product(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
     """Overlap counts of all rows of ``left`` with all of ``right``."""
     out = np.zeros((len(left), len(right)), np.float32)
@@ -319,7 +356,7 @@ class Join:
         self.documents = counted.filter("block is null").select("id", "name", "n")
         ranks = np.zeros(1 << CELL_BITS, np.uint8)
         blocks = counted.filter("block is not null").select("block", "counts").repartition(32, "block").sortWithinPartitions("block")
-        for r in blocks.mapInArrow(_sum_blocks, "block int, ranks binary").collect():  # 2 MB in all, whatever the input
+        for r in blocks.mapInArrow(_sum_blocks, "block int, ranks binary").collect():  # 4 MB in all, whatever the input
             ranks[r["block"] << BLOCK_BITS : (r["block"] + 1) << BLOCK_BITS] = np.frombuffer(r["ranks"], np.uint8)
         sent = spark.sparkContext.broadcast(ranks)
         entries = staged(self.rows.mapInArrow(*_prefix_pass(n, percent, sent)), "prefixes")
@@ -332,34 +369,46 @@ class Join:
         owner = self.documents.join(self.classes, "name").select("id", "rep").distinct()
         entries = entries.join(owner, "id").groupBy("gram", "rep").agg(F.min("size").alias("size"), F.min("place").alias("place"))
         self.entries = self._shared(staged(entries, "columns"))
-        self.sets = self._involved()
+        self.sketches = self._read(
+            self.entries.select(F.col("rep").alias("id")).distinct(),
+            lambda g: (len(g), sketch(g)), [("size", pa.int64()), ("sketch", pa.binary())], "id long, size long, sketch binary",
+        )
 
     def _shared(self, entries: DataFrame) -> DataFrame:
         """Entries of columns that at least two rows of the matrix have."""
         several = entries.groupBy("gram").agg(F.count(F.lit(1)).alias("c")).filter("c > 1").select("gram")
         return staged(entries.join(several, "gram", "left_semi"), "entries")
 
-    def _involved(self) -> DataFrame:
-        """The whole sets of the rows that share a prefix column."""
-        wanted = staged(self.entries.select(F.col("rep").alias("id")).distinct(), "rows")
-        n = self.n
+    def _read(self, ids: DataFrame, value, fields: list, schema: str) -> DataFrame:
+        """What ``value`` makes of the sets of documents ``ids``. Texts of others
+        are left out before any shuffle, but for what the filter lets through."""
+        wanted = staged(ids, "rows")
+        n, kinds = self.n, pa.schema([("id", pa.int64()), *fields])
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                found = [(i, g.tobytes()) for i, g in _sets([batch], n)]
-                ids, blobs = map(list, zip(*found, strict=True)) if found else ([], [])
-                yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(blobs, pa.binary())], ["id", "grams"])
+                found = [(i, *value(g)) for i, g in _sets([batch], n)]
+                columns = list(zip(*found, strict=True)) or [[]] * len(kinds)
+                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, kinds, strict=True)], schema=kinds)
 
         slots = BitFilter(wanted.select(F.xxhash64("id").alias("h")), "h", 24)
         rows = slots.keep(self.rows.withColumn("h", F.xxhash64("id")), "h").select("id", "text")
-        return staged(rows.join(wanted, "id", "left_semi").mapInArrow(run, "id long, grams binary"), "row-sets")
+        return staged(rows.join(wanted, "id", "left_semi").mapInArrow(run, schema), "row-sets")
+
+    def sets(self, ids: DataFrame) -> DataFrame:
+        """id and grams (the whole set, as bytes)."""
+        return self._read(ids, lambda g: (g.tobytes(),), [("grams", pa.binary())], "id long, grams binary")
 
     def test(self, pairs: DataFrame) -> DataFrame:
         """The pairs (a, b) that link."""
-        right = self.sets.select(F.col("id").alias("b"), F.col("grams").alias("right"))
-        left = self.sets.select(F.col("id").alias("a"), F.col("grams").alias("left"))
-        rows = pairs.join(right, "b").join(left, "a").select("a", "b", "left", "right")
-        return rows.mapInArrow(_multiply(self.percent), "a long, b long")
+        left = self.sketches.select(F.col("id").alias("a"), "size", F.col("sketch").alias("s"))
+        right = self.sketches.select(F.col("id").alias("b"), F.col("size").alias("size2"), F.col("sketch").alias("s2"))
+        near = pairs.join(left, "a").join(right, "b").select("a", "b", "size", "size2", "s", "s2")
+        near = staged(near.mapInArrow(_near(self.percent), "a long, b long"), "near")
+        sets = self.sets(near.select(F.col("a").alias("id")).unionByName(near.select(F.col("b").alias("id"))).distinct())
+        rows = near.join(sets.select(F.col("id").alias("b"), F.col("grams").alias("right")), "b")
+        rows = rows.join(sets.select(F.col("id").alias("a"), F.col("grams").alias("left")), "a")
+        return rows.select("a", "b", "left", "right").mapInArrow(_multiply(self.percent), "a long, b long")
 
     def centred(self, labelled: DataFrame, turn: int) -> DataFrame:
         """Pairs of each column's rows with a centre, one for each band of sizes."""
@@ -413,7 +462,7 @@ class Join:
         upto = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
         left = rows.filter("component <> main").select("team", "rep", "component", F.lit(0).alias("side"), F.pmod("h", F.col("lefts")).cast("int").alias("i"), upto("rights").alias("j"))
         right = rows.select("team", "rep", "component", F.lit(1).alias("side"), upto("lefts").alias("i"), F.pmod("h", F.col("rights")).cast("int").alias("j"))
-        sets = self.sets.select(F.col("id").alias("rep"), "grams")
+        sets = self.sets(rows.select(F.col("rep").alias("id"))).withColumnRenamed("id", "rep")
         held = left.unionByName(right).join(sets, "rep")
         return held.groupBy("team", "i", "j").applyInArrow(_block(self.percent), "a long, b long")
 
