@@ -51,7 +51,7 @@ from rowdex.llm.token_count import in_pieces
 
 WORDS, PERCENT = 5, 80
 #: Cells of the table of counts, and the blocks in which it is summed.
-CELL_BITS, BLOCK_BITS = 22, 12
+CELL_BITS, BLOCK_BITS = 24, 14
 #: Rounds with centres end when open pairs are fewer than this many for each prefix entry.
 OPEN_PAIRS, MOST_ROUNDS = 0.5, 12
 #: A column with more open pairs is left to blocks; rows and n-grams of a block's two sides.
@@ -154,7 +154,7 @@ def _count_pass(n: int):
         size = 1 << BLOCK_BITS
         for start in range(0, len(cells), 64 * size):
             blocks = [b for b in range(start // size, start // size + 64) if cells[b * size : (b + 1) * size].any()]
-            packed = [zlib.compress(cells[b * size : (b + 1) * size].tobytes(), 1) for b in blocks]
+            packed = [zlib.compress(np.minimum(cells[b * size : (b + 1) * size], 65535).astype(np.uint16).tobytes(), 1) for b in blocks]
             empty = [None] * len(blocks)
             columns = [blocks, packed, empty, empty, empty]
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, schema, strict=True)], schema=schema)
@@ -177,7 +177,7 @@ def _sum_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 if at is not None:
                     yield row()
                 at, total = block, np.zeros(1 << BLOCK_BITS, np.uint64)
-            total += np.frombuffer(zlib.decompress(counts), np.uint32)
+            total += np.frombuffer(zlib.decompress(counts), np.uint16)
     if at is not None:
         yield row()
 
@@ -356,7 +356,7 @@ class Join:
         self.documents = counted.filter("block is null").select("id", "name", "n")
         ranks = np.zeros(1 << CELL_BITS, np.uint8)
         blocks = counted.filter("block is not null").select("block", "counts").repartition(32, "block").sortWithinPartitions("block")
-        for r in blocks.mapInArrow(_sum_blocks, "block int, ranks binary").collect():  # 4 MB in all, whatever the input
+        for r in blocks.mapInArrow(_sum_blocks, "block int, ranks binary").collect():  # 16 MB in all, whatever the input
             ranks[r["block"] << BLOCK_BITS : (r["block"] + 1) << BLOCK_BITS] = np.frombuffer(r["ranks"], np.uint8)
         sent = spark.sparkContext.broadcast(ranks)
         entries = staged(self.rows.mapInArrow(*_prefix_pass(n, percent, sent)), "prefixes")
@@ -371,7 +371,7 @@ class Join:
         self.entries = self._shared(staged(entries, "columns"))
         self.sketches = self._read(
             self.entries.select(F.col("rep").alias("id")).distinct(),
-            lambda g: (len(g), sketch(g)), [("size", pa.int64()), ("sketch", pa.binary())], "id long, size long, sketch binary",
+            lambda g: (len(g), sketch(g)), [("size", pa.int64()), ("sketch", pa.binary())], "id long, size long, sketch binary", exact=False,
         )
 
     def _shared(self, entries: DataFrame) -> DataFrame:
@@ -379,9 +379,10 @@ class Join:
         several = entries.groupBy("gram").agg(F.count(F.lit(1)).alias("c")).filter("c > 1").select("gram")
         return staged(entries.join(several, "gram", "left_semi"), "entries")
 
-    def _read(self, ids: DataFrame, value, fields: list, schema: str) -> DataFrame:
+    def _read(self, ids: DataFrame, value, fields: list, schema: str, exact: bool = True) -> DataFrame:
         """What ``value`` makes of the sets of documents ``ids``. Texts of others
-        are left out before any shuffle, but for what the filter lets through."""
+        are left out before any shuffle, but for what the filter lets through;
+        where a few rows more do no harm, there is no shuffle of texts at all."""
         wanted = staged(ids, "rows")
         n, kinds = self.n, pa.schema([("id", pa.int64()), *fields])
 
@@ -393,7 +394,8 @@ class Join:
 
         slots = BitFilter(wanted.select(F.xxhash64("id").alias("h")), "h", 24)
         rows = slots.keep(self.rows.withColumn("h", F.xxhash64("id")), "h").select("id", "text")
-        return staged(rows.join(wanted, "id", "left_semi").mapInArrow(run, schema), "row-sets")
+        rows = rows.join(wanted, "id", "left_semi") if exact else rows
+        return staged(rows.mapInArrow(run, schema), "row-sets")
 
     def sets(self, ids: DataFrame) -> DataFrame:
         """id and grams (the whole set, as bytes)."""
