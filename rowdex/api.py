@@ -12,7 +12,7 @@ from pyspark.sql import SparkSession
 
 from rowdex.errors import DatasetNotFoundError, RowdexError, SplitNotFoundError
 from rowdex.operators.archive import Archive, read_manifest
-from rowdex.operators.cache import FileCache, TableCache
+from rowdex.operators.cache import DiskCache, FileCache, TableCache
 from rowdex.operators.lifecycle import REGISTRY
 from rowdex.plans.view import SplitDict, View
 from rowdex.sources.index import build_index
@@ -42,7 +42,7 @@ def load_dataset(
     path: object = None, name: str | None = None, data_dir: str | None = None, data_files: object = None, split: str | None = None, *,
     spark: SparkSession | None = None, cache_dir: str | None = None, streaming: bool = False, save_to_disk: bool | str = False,
     background_download: bool = False, columns: list[str] | None = None, token: str | bool | None = None, revision: str | None = None,
-    max_cached_row_groups: int = 2, shuffle: bool | None = None, seed: int | None = None, buffer_size: int | None = None, start_index: int = 0,
+    max_cached_row_groups: int = 2, disk_cache: bool = False, shuffle: bool | None = None, seed: int | None = None, buffer_size: int | None = None, start_index: int = 0,
     from_index: int = 0, dataset_id: str | None = None, manage: bool = True, max_cached_files: int | None = None, max_cache_gb: float | None = None,
     num_shards: int | None = None, shard_id: int | None = None, world_size: int | None = None, rank: int | None = None,
     contiguous_shards: bool = False, hub: Hub | None = None,
@@ -65,11 +65,13 @@ def load_dataset(
     for key, files in found.items():
         if wanted is not None and key != wanted:
             continue
+        held, urls = None, {}
         if any(map(is_remote, files)):
             folder = os.path.join(cache_dir, "downloads" if not streaming else "file_cache", key)
             if max_cached_files or max_cache_gb:
                 held = FileCache(folder, max_cached_files, max_gb=max_cache_gb, token=secret, keep=bool(target))
-                files = [held.get_or_download(f) for f in files]
+                held.set_file_sequence(files)  # files come when their rows are read; footers by range requests
+                urls = {f: f for f in files}
             else:
                 files = download_all(files, folder, secret)
         index = build_index(files, key, spark, cache_dir, secret)
@@ -77,6 +79,7 @@ def load_dataset(
         if unknown:
             raise ValueError(f"{unknown} not in dataset columns {index.schema.names}")
         view = View(spark, index, columns=columns, cache=TableCache(max_cached_row_groups))
+        view.file_cache, view.urls, view.disk_cache = held, urls, DiskCache(cache_dir) if disk_cache else None
         if target:
             base = target if wanted is not None else os.path.join(target, key)
             view.archive = Archive(base, index, key, source=str(path or data_files), columns=columns)

@@ -73,6 +73,8 @@ class View:
         self.seed, self.buffer_size, self.dataset_id = seed, buffer_size, dataset_id
         self.cache = cache if cache is not None else TableCache(2)
         self.archive, self.closed = None, False
+        #: Row groups on disk; whole files with their URLs by local path; groups read of each file.
+        self.disk_cache, self.file_cache, self.urls, self.read_groups = None, None, {}, {}
 
     @classmethod
     def open(cls, spark: SparkSession, files: Sequence[str], split: str = "train", **more) -> View:
@@ -81,7 +83,8 @@ class View:
     def _with(self, **changes) -> View:
         held = dict(selection=self.selection, columns=self.columns, seed=self.seed, buffer_size=self.buffer_size, cache=self.cache)
         out = View(self.spark, self.index, **{**held, **changes})
-        out.archive = self.archive
+        out.archive, out.disk_cache = self.archive, self.disk_cache
+        out.file_cache, out.urls, out.read_groups = self.file_cache, self.urls, self.read_groups
         return out
 
     # what it shows, without reading rows
@@ -222,15 +225,42 @@ class View:
     def _read_group(self, group: RowGroup) -> pa.Table:
         if self.archive is not None and (held := self.archive.get(group.file_index, group.rg_index, self.columns)) is not None:
             return held
-        if "://" in group.path:  # only Spark reaches it
+        path = group.path
+        if self.file_cache is not None and path in self.urls:
+            path = self.file_cache.get_or_download(self.urls[path])  # it may have been evicted
+        if self.disk_cache is not None and (held := self.disk_cache.get(path, group.rg_index, self.columns)) is not None:
+            table = held
+        elif "://" in path:  # only Spark reaches it
             rows = positioned(self.spark, self.index, [group.file_index]).filter((F.col("pos") >= group.start) & (F.col("pos") < group.end))
             table = rows.orderBy("pos").select(*self.columns).toArrow()
         else:
-            table = pq.ParquetFile(group.path).read_row_group(group.rg_index, columns=self.columns).select(self.columns)
+            table = pq.ParquetFile(path).read_row_group(group.rg_index, columns=self.columns).select(self.columns)
+            if self.disk_cache is not None:
+                self.disk_cache.put(path, group.rg_index, self.columns, table)
         if self.archive is not None:
             self.archive.save(group.file_index, group.rg_index, table)
+        self._count_read(group)
         return table
 
+    def _count_read(self, group: RowGroup) -> None:
+        """A file is consumed once each of its row groups was read."""
+        if self.file_cache is None:
+            return
+        seen = self.read_groups.setdefault(group.file_index, set())
+        seen.add(group.rg_index)
+        if len(seen) == sum(g.file_index == group.file_index for g in self.index.groups):
+            self.mark_file_consumed(group.file_index)
+
+    def mark_file_consumed(self, file: int | str) -> None:
+        path = self.index.files[file] if isinstance(file, int) else file
+        if self.file_cache is not None:
+            self.file_cache.mark_consumed(self.urls.get(path, path))
+
+    def reset_consumption(self) -> None:
+        self.read_groups.clear()
+        if self.file_cache is not None:
+            self.file_cache.reset_consumption()
+
     def _gather(self, chosen: Selection) -> pa.Table:
         """Rows of a selection in order, by row group; few rows stay off the cluster."""
         ends = np.array([g.end for g in self.index.groups])

@@ -503,3 +503,26 @@ def test_feather_written_with_view(train, tmp_path):
     assert feather.read_table(tmp_path / "train.feather").num_rows == 7
     with open(tmp_path / "train_info.json") as f:
         assert json.load(f)["num_rows"] == 7
+
+
+def test_disk_cache_and_consumption(spark, data, tmp_path):
+    held = rowdex.load_dataset(data, split="train", columns=["id"], disk_cache=True, spark=spark, manage=False, cache_dir=str(tmp_path))
+    held[60]
+    assert held.disk_cache.contains(held.index.files[1], 0, ["id"])
+
+    class Fake:
+        marked: list[str] = []
+
+        def mark_consumed(self, url):
+            self.marked.append(url)
+
+        def reset_consumption(self):
+            self.marked.clear()
+
+    narrow = held.take(100)
+    narrow.disk_cache, narrow.file_cache = None, Fake()
+    assert len(narrow[:]["id"]) == 100
+    assert Fake.marked == held.index.files
+    narrow.reset_consumption()
+    narrow.mark_file_consumed(1)
+    assert Fake.marked == [held.index.files[1]]

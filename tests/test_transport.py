@@ -104,3 +104,19 @@ def test_download(server, tmp_path):
     paths = transport.download_all([f"{url}/x.parquet", target, f"{url}/wide.parquet"], str(tmp_path / "all"))
     assert paths[1] == target and [pq.read_metadata(p).num_rows for p in paths] == [200, 200, 2]
     assert transport.cache_name("http://a/f.parquet") != transport.cache_name("http://b/f.parquet")
+
+
+def test_load_through_file_cache(server, spark, tmp_path):
+    import rowdex
+
+    url, asked, _, folder = server
+    names = []
+    for k in range(3):
+        pq.write_table(pa.table({"id": list(range(10 * k, 10 * k + 10))}), folder / f"part{k}.parquet", row_group_size=5)
+        names.append(f"{url}/part{k}.parquet")
+    held = rowdex.load_dataset(names, split="train", streaming=True, max_cached_files=1, spark=spark, manage=False, cache_dir=str(tmp_path))
+    assert len(held) == 30 and not [a for a in asked if a[0] == "HEAD"]
+    assert held[12]["id"] == 12 and held[[29, 3, 14]]["id"] == [29, 3, 14]
+    assert [r["id"] for r in held] == list(range(30))
+    whole = rowdex.load_dataset(names, split="train", spark=spark, manage=False, cache_dir=str(tmp_path))
+    assert sorted(r.id for r in whole.to_df().collect()) == list(range(30))
