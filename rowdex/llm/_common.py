@@ -36,12 +36,20 @@ def staging_path(spark: SparkSession, name: str) -> str:
     return f"{shared_folder(spark).rstrip('/')}/rowdex/{name}-{uuid.uuid4().hex}"
 
 
-def staged(df: DataFrame, name: str) -> DataFrame:
+def staged(df: DataFrame, name: str, batch_rows: int | None = None) -> DataFrame:
     """Writes ``df`` to the shared folder and reads it back: later steps neither
-    repeat its work nor lose it with an executor."""
+    repeat its work nor lose it with an executor. batch_rows: rows of an Arrow
+    batch in this job, fewer where rows carry whole texts."""
     spark = df.sparkSession
     path = staging_path(spark, name)
-    df.write.parquet(path)
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    if batch_rows is not None:
+        spark.conf.set(key, batch_rows)
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(key, before)
     return spark.read.schema(df.schema).parquet(path)
 
 

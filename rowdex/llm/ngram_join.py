@@ -52,6 +52,9 @@ from rowdex.llm.token_count import in_pieces
 WORDS, PERCENT = 5, 80
 #: Cells of the table of counts, and the blocks in which it is summed.
 CELL_BITS, BLOCK_BITS = 24, 14
+#: Sets after which a task gives its counts away: its cells of 16 bits would overflow only
+#: if each set had four n-grams in one cell. Rows of an Arrow batch of texts.
+CELL_SETS, TEXT_ROWS = 16_384, 1000
 #: Rounds with centres end when open pairs are fewer than this many for each prefix entry.
 OPEN_PAIRS, MOST_ROUNDS = 0.5, 12
 #: A column with more open pairs is left to blocks; rows and n-grams of a block's two sides.
@@ -119,11 +122,13 @@ def set_name(grams: np.ndarray) -> bytes | None:
 
 def _sets(batches: Iterator[pa.RecordBatch], n: int) -> Iterator[tuple[int | None, np.ndarray]]:
     for batch in batches:
-        ids, texts = batch.column(0).to_pylist(), [t or "" for t in batch.column(1).to_pylist()]
-        at = 0
-        for part in in_pieces(texts, 1 << 20):
-            yield from zip(ids[at : at + len(part)], ngram_sets(part, n), strict=True)
-            at += len(part)
+        for start in range(0, batch.num_rows, 256):
+            part = batch.slice(start, 256)
+            ids, texts = part.column(0).to_pylist(), [t or "" for t in part.column(1).to_pylist()]
+            at = 0
+            for some in in_pieces(texts, 1 << 20):
+                yield from zip(ids[at : at + len(some)], ngram_sets(some, n), strict=True)
+                at += len(some)
 
 
 def _count_pass(n: int):
@@ -132,7 +137,7 @@ def _count_pass(n: int):
     schema = pa.schema([("block", pa.int32()), ("counts", pa.binary()), ("id", pa.int64()), ("name", pa.binary()), ("n", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cells, seen, held = np.zeros(1 << CELL_BITS, np.uint32), set(), []
+        cells, seen, held, counted = np.zeros(1 << CELL_BITS, np.uint16), set(), [], 0
 
         def flush() -> pa.RecordBatch:
             ids, names, sizes = map(list, zip(*held, strict=True))
@@ -140,24 +145,31 @@ def _count_pass(n: int):
             columns = [empty, empty, ids, names, sizes]
             return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, schema, strict=True)], schema=schema)
 
+        def blocks() -> Iterator[pa.RecordBatch]:
+            size = 1 << BLOCK_BITS
+            for start in range(0, len(cells) // size, 64):
+                some = [k for k in range(start, start + 64) if cells[k * size : (k + 1) * size].any()]
+                packed = [zlib.compress(cells[k * size : (k + 1) * size].tobytes(), 1) for k in some]
+                empty = [None] * len(some)
+                columns = [some, packed, empty, empty, empty]
+                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, schema, strict=True)], schema=schema)
+            cells[:] = 0
+
         for ident, grams in _sets(batches, n):
             name = set_name(grams)
             held.append((ident, name, len(grams)))
             if name is not None and name not in seen:
                 seen.add(name)
                 np.add.at(cells, grams & np.uint64((1 << CELL_BITS) - 1), 1)
+                counted += 1
+                if counted % CELL_SETS == 0:
+                    yield from blocks()
             if len(held) >= 5000:
                 yield flush()
                 held.clear()
         if held:
             yield flush()
-        size = 1 << BLOCK_BITS
-        for start in range(0, len(cells), 64 * size):
-            blocks = [b for b in range(start // size, start // size + 64) if cells[b * size : (b + 1) * size].any()]
-            packed = [zlib.compress(np.minimum(cells[b * size : (b + 1) * size], 65535).astype(np.uint16).tobytes(), 1) for b in blocks]
-            empty = [None] * len(blocks)
-            columns = [blocks, packed, empty, empty, empty]
-            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, schema, strict=True)], schema=schema)
+        yield from blocks()
 
     return run, "block int, counts binary, id long, name binary, n long"
 
@@ -352,14 +364,14 @@ class Join:
         self.rows = docs.select(F.col(id_col).cast("long").alias("id"), docs[text_col].cast("string").alias("text"))
         self.n, self.percent, self.seed = n, percent, seed
         spark = docs.sparkSession
-        counted = staged(self.rows.mapInArrow(*_count_pass(n)), "counts")
+        counted = staged(self.rows.mapInArrow(*_count_pass(n)), "counts", TEXT_ROWS)
         self.documents = counted.filter("block is null").select("id", "name", "n")
         ranks = np.zeros(1 << CELL_BITS, np.uint8)
         blocks = counted.filter("block is not null").select("block", "counts").repartition(32, "block").sortWithinPartitions("block")
         for r in blocks.mapInArrow(_sum_blocks, "block int, ranks binary").collect():  # 16 MB in all, whatever the input
             ranks[r["block"] << BLOCK_BITS : (r["block"] + 1) << BLOCK_BITS] = np.frombuffer(r["ranks"], np.uint8)
         sent = spark.sparkContext.broadcast(ranks)
-        entries = staged(self.rows.mapInArrow(*_prefix_pass(n, percent, sent)), "prefixes")
+        entries = staged(self.rows.mapInArrow(*_prefix_pass(n, percent, sent)), "prefixes", TEXT_ROWS)
 
         # a set's document is the smallest id that has it
         self.classes = staged(self.documents.filter("name is not null and id is not null").groupBy("name").agg(F.min("id").alias("rep")), "sets")
@@ -395,7 +407,7 @@ class Join:
         slots = BitFilter(wanted.select(F.xxhash64("id").alias("h")), "h", 24)
         rows = slots.keep(self.rows.withColumn("h", F.xxhash64("id")), "h").select("id", "text")
         rows = rows.join(wanted, "id", "left_semi") if exact else rows
-        return staged(rows.mapInArrow(run, schema), "row-sets")
+        return staged(rows.mapInArrow(run, schema), "row-sets", TEXT_ROWS)
 
     def sets(self, ids: DataFrame) -> DataFrame:
         """id and grams (the whole set, as bytes)."""
@@ -501,7 +513,7 @@ class Join:
         return found
 
     def _more(self, links: DataFrame | None, new: DataFrame) -> DataFrame:
-        new = staged(new, "found")
+        new = staged(new, "found", TEXT_ROWS)  # its rows carry whole sets
         return new if links is None else links.unionByName(new)
 
 
