@@ -8,7 +8,7 @@ and offsets in characters of the text. Decoding reverses that table: ids give
 the bytes of their symbols, and only the bytes joined make characters, so a
 character that two tokens share comes back whole.
 
-Ids of pre-tokens are kept between batches in a table of bounded size, and texts
+Ids of pre-tokens are kept during a task in a table of bounded size, and texts
 are taken a few at a time. Defined results: a null text counts as empty and has no token; an id that the
 vocabulary lacks raises KeyError on decoding; bytes that are not UTF-8 decode to
 the replacement character where text is asked for; other columns are ignored.
@@ -26,7 +26,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from rowdex.llm.token_count import Recent, byte_alphabet, in_pieces
+from rowdex.llm.token_count import Recent, byte_alphabet, in_pieces, rows_at_a_time
 
 #: Pre-tokens that the library gets as one sequence of words.
 TOGETHER = 256
@@ -151,7 +151,7 @@ def round_trip(docs: DataFrame, vocabulary: str, pattern: str, id_col: str = "do
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         code = codec(vocabulary, pattern)
-        for batch in batches:
+        for batch in rows_at_a_time(batches):
             sizes, named, decoded, kept = [], [], [], []
             for texts in in_pieces(_texts(batch.column(1))):
                 for ids in code.encode(texts):
@@ -164,6 +164,7 @@ def round_trip(docs: DataFrame, vocabulary: str, pattern: str, id_col: str = "do
             if with_ids:
                 columns.append(pa.array(kept, pa.list_(pa.int32())))
             yield pa.RecordBatch.from_arrays(columns, [id_col, "n_tokens", "ids_sha256", "decoded_sha256", "ids"][: len(columns)])
+        code.known.forget()
 
     kind = docs.schema[id_col].dataType.simpleString()
     schema = f"`{id_col}` {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * with_ids

@@ -6,7 +6,7 @@ finds the lowest rank among its pairs and merges that pair everywhere it stands,
 all sequences at once; a sequence without a known pair is finished and counted.
 As a merge makes only pairs of higher rank, this is the order of the merge list.
 
-Counts of pre-tokens are kept between batches in a table of bounded size; a
+Counts of pre-tokens are kept during a task in a table of bounded size; a
 text's count is a sum over its pre-tokens. Texts are cut into pre-tokens a few
 at a time, so memory is bounded by the longest text and not by the batch.
 Defined results: a null text counts as empty, with no byte and no token; other
@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 #: Entries kept of the counts of pre-tokens, and bytes of text that are cut at a time.
-KEPT, CUT_BYTES = 400_000, 2 << 20
+KEPT, CUT_BYTES = 150_000, 2 << 20
 
 
 def byte_alphabet() -> dict[int, str]:
@@ -108,6 +108,11 @@ class Recent(dict):
         super().__init__()
         self.most, self.older = most, {}
 
+    def forget(self) -> None:
+        """At the end of a task: an idle worker should hold no table."""
+        self.older = {}
+        self.clear()
+
     def unknown(self, wanted: set[str]) -> list[str]:
         """What of ``wanted`` is in neither table; the rest is in this one afterwards."""
         if len(self) > self.most:
@@ -170,18 +175,26 @@ def in_pieces(texts: list[str], most: int = CUT_BYTES) -> Iterator[list[str]]:
         yield held
 
 
+def rows_at_a_time(batches: Iterator[pa.RecordBatch], most: int = 500) -> Iterator[pa.RecordBatch]:
+    """The same rows in smaller batches: Python objects of a few hundred texts at once."""
+    for batch in batches:
+        for start in range(0, batch.num_rows, most):
+            yield batch.slice(start, most)
+
+
 def count_tokens(docs: DataFrame, vocabulary: str, pattern: str, limit: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row for each document: id, n_bytes, n_tokens, over_limit."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         count = counter(vocabulary, pattern)
-        for batch in batches:
+        for batch in rows_at_a_time(batches):
             sizes, tokens = [], []
             for texts in in_pieces([t or "" for t in batch.column(1).to_pylist()]):
                 sizes += [len(t.encode("utf-8")) for t in texts]
                 tokens += count.count(texts)
             columns = [pa.array(sizes, pa.int64()), pa.array(tokens, pa.int64()), pa.array([n > limit for n in tokens], pa.bool_())]
             yield pa.RecordBatch.from_arrays([batch.column(0), *columns], [id_col, "n_bytes", "n_tokens", "over_limit"])
+        count.known.forget()
 
     kind = docs.schema[id_col].dataType.simpleString()
     return docs.select(id_col, docs[text_col].cast("string")).mapInArrow(run, f"`{id_col}` {kind}, n_bytes long, n_tokens long, over_limit boolean")
