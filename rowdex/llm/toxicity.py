@@ -29,6 +29,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from rowdex.llm._common import staged
+from rowdex.llm.token_count import rows_at_a_time
 
 SAMPLE, LEXICON, NEAR, FOLDS = 20_000, 400, 4, 3
 WORD = re.compile(r"[^\W\d_]+")
@@ -219,7 +220,7 @@ def score(docs: DataFrame, model: Model, columns: list[Column], text_col: str =
     names = rows.columns[:-1]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in rows_at_a_time(batches):
             found = sent.value.score(batch.column(len(names)).to_pylist())
             out = [*(batch.column(k) for k in range(len(names))), pa.array(found, pa.float64())]
             yield pa.RecordBatch.from_arrays(out, [*names, name])
