@@ -79,7 +79,7 @@ def op7_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_shard(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return sharding.assign_shards(read_table(spark, sf_dir, "documents", "doc_id", "text"), shards=16)
+    return sharding.assign_shards(read_table(spark, sf_dir, "documents"), shards=16)
 
 
 def op9_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -14,8 +14,10 @@ A task that is run again after a lost executor gives the same rows.
 
 DataFrame operations only. A source, a text or a length that is frequent does not load a
 cell, as only the identifier places a record. Defined results: a null text has
-size 1; null ids hash as empty text; repeated rows share a cell and take a slot
-each; an empty table gives no rows; other columns are ignored.
+size 1; null ids hash as empty text (inside the shard their text chooses the
+cell, so that many of them fill no single one); repeated rows share a cell and
+take a slot each; an empty table gives no rows. Records are written with all
+their columns, of which none may be named shard or __slot.
 """
 
 from __future__ import annotations
@@ -23,8 +25,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
+from pyspark.sql.types import IntegerType, LongType, StructField, StructType
 
-from rowdex.llm._common import staged
+from rowdex.llm._common import staging_path
 
 
 def rendezvous(id_col: str, shards: int, seed: int) -> Column:
@@ -34,14 +37,16 @@ def rendezvous(id_col: str, shards: int, seed: int) -> Column:
     return (F.array_position(marks, F.array_max(marks)) - 1).cast("int")
 
 
-def shuffled_cells(records: DataFrame, id_col: str, size_col: str, seed: int, cell_bytes: int) -> DataFrame:
+def shuffled_cells(records: DataFrame, id_col: str, text_col: str, size_col: str, seed: int, cell_bytes: int) -> DataFrame:
     """``records`` has __shard; adds __slot, gapless from 0 in each shard."""
     columns = records.columns
     total = records.agg(F.sum(size_col), F.count_distinct("__shard")).first()
     per_shard = max(1, -(-int(total[0] or 0) // max(1, total[1]) // cell_bytes))
     cells = per_shard * max(1, total[1])
     ident = F.coalesce(F.col(id_col).cast("string"), F.lit(""))
-    placed = records.withColumn("__cell", F.pmod(F.xxhash64(F.lit(seed), F.lit("cell"), ident), F.lit(per_shard)))
+    # a null does not change the hash: only rows without an id are placed by text
+    unnamed = F.when(F.col(id_col).isNull(), F.col(text_col).cast("string"))
+    placed = records.withColumn("__cell", F.pmod(F.xxhash64(F.lit(seed), F.lit("cell"), ident, unnamed), F.lit(per_shard)))
 
     in_shard = Window.partitionBy("__shard").orderBy("__cell").rowsBetween(Window.unboundedPreceding, -1)
     starts = placed.groupBy("__shard", "__cell").agg(F.count(F.lit(1)).alias("__n"))
@@ -55,7 +60,7 @@ def shuffled_cells(records: DataFrame, id_col: str, size_col: str, seed: int, ce
         .select("__shard", "__cell", F.shuffle("__rows", F.lit(seed)).alias("__rows"))
     )
     return (
-        held.join(starts, ["__shard", "__cell"])
+        held.join(F.broadcast(starts), ["__shard", "__cell"])  # a row for each cell
         .select("__shard", "__start", F.posexplode("__rows").alias("__pos", "__row"))
         .select("__shard", (F.col("__start") + F.col("__pos")).alias("__slot"), "__row.*")
     )
@@ -64,21 +69,22 @@ def shuffled_cells(records: DataFrame, id_col: str, size_col: str, seed: int, ce
 def assign_shards(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shards: int = 16, seed: int = 17, cell_bytes: int = 16 << 20
 ) -> DataFrame:
-    """One row for each document: its size, text checksum, shard, slot in the
-    shard, and its shard if there were one more."""
+    """Writes whole records in shards and reads them back. One row for each record
+    read: its size, text checksum, shard, slot in the shard, and its shard if there
+    were one more."""
+    path = staging_path(docs.sparkSession, "shards")
+    write_shards(docs, path, id_col, text_col, shards, seed, cell_bytes)
+    schema = StructType([*docs.schema.fields, StructField("__slot", LongType()), StructField("shard", IntegerType())])
     text = F.coalesce(F.col(text_col).cast("string"), F.lit("")).cast("binary")
-    narrow = docs.select(
+    return docs.sparkSession.read.schema(schema).parquet(path).select(
         id_col,
         (F.octet_length(text) + 1).cast("long").alias("size"),
         F.crc32(text).alias("text_crc32"),
-        rendezvous(id_col, shards, seed).alias("__shard"),
+        F.lit("key").alias("law"),
+        "shard",
+        F.col("__slot").alias("slot"),
         rendezvous(id_col, shards + 1, seed).alias("grown_shard"),
     )
-    slotted = shuffled_cells(staged(narrow, "shards"), id_col, "size", seed, cell_bytes)
-    return slotted.select(
-        id_col, "size", "text_crc32", F.lit("key").alias("law"), F.col("__shard").alias("shard"),
-        F.col("__slot").cast("long").alias("slot"), "grown_shard",
-    )
 
 
 def write_shards(
@@ -88,5 +94,6 @@ def write_shards(
     cells in order of slot; the column __slot gives the place in the shard."""
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     sized = docs.withColumns({"__size": (F.octet_length(text) + 1).cast("long"), "__shard": rendezvous(id_col, shards, seed)})
-    rows = shuffled_cells(sized, id_col, "__size", seed, cell_bytes).drop("__size")
-    rows.withColumnRenamed("__shard", "shard").write.partitionBy("shard").parquet(path)
+    rows = shuffled_cells(sized, id_col, text_col, "__size", seed, cell_bytes).drop("__size")
+    rows = rows.withColumnRenamed("__shard", "shard").withColumn("__slot", F.col("__slot").cast("long"))
+    rows.sortWithinPartitions("shard", "__slot").write.partitionBy("shard").parquet(path)

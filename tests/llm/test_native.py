@@ -101,6 +101,30 @@ def test_write_shards(odd_docs, tmp_path):
     assert {"shard", "__slot", *odd_docs.columns} == set(back.columns)
 
 
+def test_shards_are_those_written(monkeypatch, spark):
+    """Whole records are written, and what is returned comes from the files."""
+    rows = [(None if k % 3 == 0 else k, f"text {k} " * 20, f"src{k % 5}") for k in range(600)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    whole, paths = sharding.write_shards, []
+
+    def damaging(docs, path, *more, **named):
+        paths.append(path)
+        whole(docs.withColumn("text", F.when(F.col("doc_id") == 7, "lost").otherwise(F.col("text"))), path, *more, **named)
+
+    monkeypatch.setattr(sharding, "write_shards", damaging)
+    got = sharding.assign_shards(docs, shards=4, cell_bytes=5_000).collect()
+    assert [(r.size, r.text_crc32) for r in got if r.doc_id == 7] == [(5, zlib.crc32(b"lost"))]
+    files = spark.read.parquet(paths[0]).withColumn("file", F.input_file_name()).withColumn("at", F.col("_metadata.row_index")).collect()
+    key = lambda r: (r[0] or -1, *r[1:])
+    assert sorted((key((r.doc_id, r.text, r.source)) for r in files if r.doc_id != 7)) == sorted(key(r) for r in rows if r[0] != 7)
+    written = sorted((r.shard, r["__slot"], zlib.crc32(r.text.encode())) for r in files)
+    assert written == sorted((r.shard, r.slot, r.text_crc32) for r in got)
+    assert [(s, k) for s, k, _ in written] == [(s, k) for s in range(4) for k in range(sum(r.shard == s for r in got))]
+    for name in {r.file for r in files}:
+        slots = [r["__slot"] for r in sorted((r for r in files if r.file == name), key=lambda r: r.at)]
+        assert slots == sorted(slots)
+
+
 def plain_share(budget, children):
     """children: name -> (capacity, weight). Fills until nobody takes more."""
     given, open_ = {}, dict(children)
