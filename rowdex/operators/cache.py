@@ -12,12 +12,15 @@ from concurrent.futures import Future, ThreadPoolExecutor
 
 import pyarrow as pa
 import pyarrow.feather as feather
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
 from rowdex.sources.transport import cache_name, download, is_remote
 
+#: Rows that a range of an order should hold, and the most ranges.
+RANGE_ROWS, MOST_RANGES = 4096, 256
+
 
 class TableCache:
     """The last few tables, by key. A key that several threads ask for at once is read once."""
@@ -289,10 +292,35 @@ class FileCache:
         self.__init__(**held)
 
 
+def order_ranges(rows: DataFrame, order: str) -> Column:
+    """The range of a row's place in the order, from 0: ranges hold some RANGE_ROWS
+    rows each. Their bounds are drawn from a sample; any bounds give right ranges."""
+    n = rows.count()
+    ranges = min(MOST_RANGES, -(-n // RANGE_ROWS))
+    if ranges < 2:
+        return F.lit(0)
+    drawn = rows.select(order).filter(F.col(order).isNotNull()).sample(min(1.0, 64 * ranges / n), 0).orderBy(order).collect()
+    bounds = dict.fromkeys(drawn[k * len(drawn) // ranges][0] for k in range(1, ranges)) if drawn else {}
+    return sum((F.coalesce(F.col(order) >= F.lit(b), F.lit(False)).cast("int") for b in bounds), F.lit(0))
+
+
 def admitted(files: DataFrame, order: str, size: str, max_files: int, max_bytes: int) -> DataFrame:
-    """Which files a prefetch would take, in order: while fewer files and bytes stand before."""
-    before = Window.orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
-    held = files.withColumn("files_before", F.count(F.lit(1)).over(before)).withColumn("bytes_before", F.coalesce(F.sum(size).over(before), F.lit(0)))
+    """Which files a prefetch would take, in order: while fewer files and bytes stand before.
+    Each range of the order is summed by itself and starts where the ones before it end."""
+    ranged = files.withColumn("__range", order_ranges(files, order))
+    to_here = Window.orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)
+    sums = ranged.groupBy("__range").agg(F.count(F.lit(1)).alias("__n"), F.sum(size).alias("__b"))
+    # at most MOST_RANGES rows
+    starts = sums.select("__range", F.coalesce(F.sum("__n").over(to_here), F.lit(0)).alias("__files"), F.coalesce(F.sum("__b").over(to_here), F.lit(0)).alias("__bytes"))
+    before = Window.partitionBy("__range").orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+    held = (
+        ranged.withColumn("files_before", F.count(F.lit(1)).over(before))
+        .withColumn("bytes_before", F.coalesce(F.sum(size).over(before), F.lit(0)))
+        .join(F.broadcast(starts), "__range")
+        .withColumn("files_before", F.col("__files") + F.col("files_before"))
+        .withColumn("bytes_before", F.col("__bytes") + F.col("bytes_before"))
+        .drop("__range", "__files", "__bytes")
+    )
     return held.withColumn("admitted", (F.col("files_before") < max_files) & (F.col("bytes_before") < max_bytes))
 
 

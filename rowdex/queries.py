@@ -420,6 +420,13 @@ def prefetch_admission(spark, sf):
     return cache.admitted(files, "seq", "bytes", 40, 900)
 
 
+@query(lambda: ORACLE_SQL["prefetch_admission"].replace(SIZED, "(SELECT p_partkey AS seq, p_size AS bytes FROM part)"))
+def prefetch_admission_all(spark, sf):
+    """The same over all files."""
+    files = spark.read.parquet(f"{sf}/part.parquet").select(F.col("p_partkey").alias("seq"), F.col("p_size").alias("bytes"))
+    return cache.admitted(files, "seq", "bytes", 40, 900)
+
+
 @query(
     "SELECT user_id, last_use, age FROM (SELECT *, row_number() OVER (ORDER BY last_use DESC, user_id)::INTEGER AS age "
     "FROM (SELECT user_id, max(ts) AS last_use FROM events GROUP BY user_id)) WHERE age > 50"

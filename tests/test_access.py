@@ -8,18 +8,20 @@ import pickle
 import random
 import threading
 import time
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.feather as feather
 import pyarrow.parquet as pq
 import pytest
+from pyspark.sql import functions as F
 
 import rowdex
 from rowdex import cli
 from rowdex.functions import order
 from rowdex.functions.collate import default_collate, numpy_collate
-from rowdex.operators import batches
+from rowdex.operators import batches, cache
 from rowdex.operators.archive import Archive
 from rowdex.operators.cache import DiskCache, FileCache, TableCache
 from rowdex.operators.lifecycle import Registry, managed_datasets
@@ -474,6 +476,26 @@ def test_file_cache(tmp_path):
     assert fetched == [url(9)]
 
 
+def test_admission_by_ranges(monkeypatch, spark):
+    """Running sums over ranges of the order, in more than one task."""
+    monkeypatch.setattr(cache, "RANGE_ROWS", 50)
+    rows = [(None if k == 0 else f"f{k:04d}", None if k % 7 == 1 else k % 13) for k in range(1000)]
+    files = spark.createDataFrame(rows[::-1], "name string, size int").repartition(3)
+    key = "spark.sql.adaptive.coalescePartitions.enabled"
+    spark.conf.set(key, "false")
+    try:
+        got = cache.admitted(files, "name", "size", 400, 2000).withColumn("task", F.spark_partition_id()).collect()
+    finally:
+        spark.conf.unset(key)
+    want, total = [], 0
+    for k, (name, size) in enumerate(rows):
+        want.append((name, size, k, total, k < 400 and total < 2000))
+        total += size or 0
+    assert sorted((r[:5] for r in got), key=lambda r: r[2]) == want
+    assert max(Counter(r.task for r in got).values()) < len(rows)
+    assert cache.admitted(files.limit(0), "name", "size", 40, 900).collect() == []
+
+
 def test_registry(train, spark):
     held = Registry()
     assert held.register(train) == "dataset_1" and held.register(train.take(1), "x") == "x" and held.register(train.take(2), "x") == "x_1"
