@@ -17,7 +17,6 @@ from collections.abc import Callable, Iterator, Sequence
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-import pyarrow.feather as feather
 import pyarrow.parquet as pq
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -334,7 +333,9 @@ class View:
         part = next(f for f in sorted(os.listdir(staging)) if f.startswith("part-"))
         os.replace(os.path.join(staging, part), parquet)
         shutil.rmtree(staging)
-        feather.write_feather(pq.read_table(parquet), f"{arrow}.tmp", compression="zstd")
+        with pq.ParquetFile(parquet) as held, pa.ipc.new_file(f"{arrow}.tmp", held.schema_arrow, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
+            for part in held.iter_batches():
+                out.write_batch(part)
         os.replace(f"{arrow}.tmp", arrow)
         info = {"split": self.split, "num_rows": len(self), "columns": self.columns, "data_file": os.path.basename(arrow), "parquet_file": os.path.basename(parquet), "format": "feather"}
         with open(os.path.join(target, f"{self.split}_info.json"), "w", encoding="utf-8") as f:

@@ -1,8 +1,9 @@
 """Registered queries over the operators, each with SQL that gives the same rows.
 
 A parquet file's row number is its position. Permutations come from Python's
-generator; their SQL lists the first few hundred pairs. Layouts of many files
-and row groups are written to the shared folder first.
+generator; the SQL of the take queries lists the first few hundred pairs, that of
+the queries named ``_all`` the whole order. Layouts of many files and row groups
+are written to the shared folder first.
 """
 
 from __future__ import annotations
@@ -51,6 +52,11 @@ def values(pos, first: int = 0) -> str:
     return "(VALUES " + ", ".join(f"({k}::BIGINT, {int(p)}::BIGINT)" for k, p in enumerate(pos, first)) + ") AS v(ord, pos)"
 
 
+def whole(pos) -> str:
+    """``values`` for an order of a whole table."""
+    return f"(SELECT unnest(range({len(pos)})) AS ord, unnest([{', '.join(str(int(p)) for p in pos)}]::BIGINT[]) AS pos) AS v"
+
+
 #: Rows at sf0.01, where SQL is compared; the plans take lengths from footers.
 ORDERS, EVENTS, CUSTOMERS = 15_000, 10_000, 1_500
 
@@ -72,6 +78,11 @@ def nested_passthrough(spark, sf):
     return rows.select((F.col("ord") + 100).alias("ord"), "vec_id", F.col("embedding")[0].alias("first"), F.size("embedding").alias("dims"))
 
 
+@query(f"SELECT pos AS ord, vec_id, embedding FROM {P('embeddings')}")
+def nested_passthrough_all(spark, sf):
+    return view(spark, sf, "embeddings").select_columns(["vec_id", "embedding"]).to_df()
+
+
 # positions
 @query(f"SELECT 0::BIGINT AS ord, * EXCLUDE (pos) FROM {P('orders')} WHERE pos = 7777")
 def point_lookup(spark, sf):
@@ -216,6 +227,12 @@ def buffer_shuffle_take(spark, sf):
     return held._with(selection=held._iteration(0, held.seed, held.buffer_size).slice(0, TAKE)).to_df()
 
 
+@query(lambda: f"SELECT ord, event_id FROM {whole(order.rolling_buffer(EVENTS, 500, SEED))} JOIN {P('events')} USING (pos)")
+def buffer_shuffle_all(spark, sf):
+    held = view(spark, sf, "events").select_columns("event_id").shuffle(SEED, buffer_size=500)
+    return held._with(selection=held._iteration(0, held.seed, held.buffer_size)).to_df()
+
+
 def _blocks(n: int) -> tuple[list[range], list[int]]:
     """Row groups of 1000 rows, four to a file."""
     groups = [range(a, min(n, a + BLOCK)) for a in range(0, n, BLOCK)]
@@ -229,6 +246,12 @@ def block_shuffle_take(spark, sf):
     return held.select(drawn.tolist()).to_df()
 
 
+@query(lambda: f"SELECT ord, o_orderkey FROM {whole(order.block_order(*_blocks(ORDERS), SEED))} JOIN {P('orders')} USING (pos)")
+def block_shuffle_all(spark, sf):
+    held = split_orders(spark, sf).select_columns("o_orderkey")
+    return held.select(batches.BlockShuffledSampler(held, seed=SEED).order().tolist()).to_df()
+
+
 @query(
     "SELECT count(*) AS n, sum(rn - 1)::BIGINT AS ords, min(rn - 1) AS first, max(rn - 1) AS last, sum(event_id)::BIGINT AS ids "
     "FROM (SELECT *, row_number() OVER () AS rn FROM events)"
@@ -275,6 +298,12 @@ def rowgroup_indices(spark, sf):
     return spark.createDataFrame(rows, "lo long, hi long, n long, rg long")
 
 
+@query(lambda: f"SELECT min(ord) AS lo, max(ord) AS hi, count(*) AS n, pos // {BLOCK} AS rg FROM {whole(order.permutation(ORDERS, SEED))} GROUP BY pos // {BLOCK}")
+def rowgroup_indices_all(spark, sf):
+    rows = [(min(o), max(o), len(o), g.start // BLOCK) for g, o in split_orders(spark, sf).shuffle(SEED)._groups()]
+    return spark.createDataFrame(rows, "lo long, hi long, n long, rg long")
+
+
 # batches
 @query(f"SELECT pos AS ord, pos // 32 AS batch_id, event_id FROM {P('events')}")
 def batch_assign(spark, sf):
@@ -305,6 +334,11 @@ def loader_plan(spark, sf):
     return held.to_dataloader(batch_size=40).plan()
 
 
+@query(lambda: f"SELECT ord, ord // 40 AS batch_id, o_orderkey FROM {whole(order.permutation(ORDERS, 3))} JOIN {P('orders')} USING (pos)")
+def loader_plan_all(spark, sf):
+    return view(spark, sf, "orders").select_columns("o_orderkey").shuffle(3).to_dataloader(batch_size=40).plan()
+
+
 @query(f"SELECT pos AS ord, pos // 16 AS batch_id, event_id FROM {P('events')} WHERE pos // 16 % 3 = 2")
 def iterable_batch_shard(spark, sf):
     rows = batches.batch_plan(view(spark, sf, "events").select_columns("event_id"), None, 16)
@@ -398,6 +432,12 @@ def save_load_roundtrip(spark, sf):
     return load_from_disk(held.save_to_disk(_folder(spark, "saved")), spark=spark, manage=False).to_df()
 
 
+@query(lambda: f"SELECT ord, * EXCLUDE (ord, pos) FROM {whole(order.permutation(ORDERS, 5))} JOIN {P('orders')} USING (pos)")
+def save_load_all(spark, sf):
+    held = view(spark, sf, "orders").shuffle(5)
+    return load_from_disk(held.save_to_disk(_folder(spark, "saved")), spark=spark, manage=False).to_df()
+
+
 @query(lambda: f"SELECT ord, n_name FROM {values(order.permutation(25, 1))} JOIN {P('nation')} USING (pos)")
 def feather_roundtrip(spark, sf):
     folder = view(spark, sf, "nation").select_columns("n_name").shuffle(1).save_to_disk(_folder(spark, "feather"))

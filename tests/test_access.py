@@ -18,7 +18,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import rowdex
-from rowdex import cli
+from rowdex import cli, queries
 from rowdex.functions import order
 from rowdex.functions.collate import default_collate, numpy_collate
 from rowdex.operators import batches, cache
@@ -189,6 +189,55 @@ def test_orders():
     assert [contiguous(10, 4, k) for k in range(4)] == [(0, 3), (3, 6), (6, 8), (8, 10)]
 
 
+def plain_buffer(n, size, seed):
+    draw, held = random.Random(seed), list(range(min(n, size)))
+    for k in range(size, n):
+        at = draw.randint(0, size - 1)
+        yield held[at]
+        held[at] = k
+    draw.shuffle(held)
+    yield from held
+
+
+def plain_blocks(n, block, per_file, seed):
+    draw, files = random.Random(seed), []
+    for first in range(0, n, block * per_file):
+        files.append([list(range(a, min(n, a + block))) for a in range(first, min(n, first + block * per_file), block)])
+    draw.shuffle(files)
+    for groups in files:
+        draw.shuffle(groups)
+        for rows in groups:
+            draw.shuffle(rows)
+            yield from rows
+
+
+def test_whole_orders(monkeypatch, spark, tmp_path):
+    """The queries of whole tables against plain Python, on tables of another length than their SQL's."""
+    n, sf = 4_321, str(tmp_path)
+    pq.write_table(pa.table({"event_id": [3 * k for k in range(n)]}), f"{sf}/events.parquet")
+    pq.write_table(pa.table({"o_orderkey": [5 * k for k in range(n)]}), f"{sf}/orders.parquet")
+    vectors = [[float(k), k / 2] for k in range(n)]
+    pq.write_table(pa.table({"vec_id": range(n), "embedding": vectors}), f"{sf}/embeddings.parquet")
+    rows = lambda name: sorted(map(tuple, queries.QUERIES[name](spark, sf).select(*columns).collect()))
+    columns = ["ord", "event_id"]
+    assert rows("buffer_shuffle_all") == [(o, 3 * k) for o, k in enumerate(plain_buffer(n, 500, 42))]
+    columns = ["ord", "o_orderkey"]
+    assert rows("block_shuffle_all") == [(o, 5 * k) for o, k in enumerate(plain_blocks(n, 1000, 4, 42))]
+    drawn = {}
+    for seed in (3, 5, 42):
+        drawn[seed] = list(range(n))
+        random.Random(seed).shuffle(drawn[seed])
+    monkeypatch.setattr(pq, "read_table", None)  # a saved table is not read as a whole
+    assert rows("save_load_all") == [(o, 5 * k) for o, k in enumerate(drawn[5])]
+    columns = ["ord", "batch_id", "o_orderkey"]
+    assert rows("loader_plan_all") == [(o, o // 40, 5 * k) for o, k in enumerate(drawn[3])]
+    columns = ["rg", "lo", "hi", "n"]
+    at = [[o for o, k in enumerate(drawn[42]) if k // 1000 == g] for g in range(5)]
+    assert rows("rowgroup_indices_all") == [(g, min(o), max(o), len(o)) for g, o in enumerate(at)]
+    columns = ["ord", "vec_id", "embedding"]
+    assert rows("nested_passthrough_all") == [(k, k, v) for k, v in enumerate(vectors)]
+
+
 def test_iteration_and_resume(train):
     assert [r["id"] for r in train] == list(range(100))
     assert [r["id"] for r in train.iter_from(-5)] == [95, 96, 97, 98, 99]
