@@ -39,10 +39,9 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     mixed = mixing.mix(
         docs, source_domain(), F.col("lang"), F.col("source"), mixing.word_tokens(F.col("text")),
-        budget=MIX_BUDGET, max_epochs=1, weights=MIX_WEIGHTS, seed=MIX_SEED,
+        budget=MIX_BUDGET, max_epochs=1, weights=MIX_WEIGHTS, seed=MIX_SEED, carry=docs.columns,
     )
-    left = mixed.filter("copies = 0").select(F.col("doc_id").alias("__out")).distinct()
-    return docs.join(left, docs["doc_id"].eqNullSafe(F.col("__out")), "left_anti")
+    return mixed.filter("copies > 0").select("row.*")
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

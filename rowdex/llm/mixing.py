@@ -19,12 +19,14 @@ cells give where each cell starts, and the running sum is taken inside a cell.
 DataFrame operations only. Defined results: null domain, language or source is
 a node of its own, named by the empty string; a null or empty text has no
 token and is taken wherever its place in the order falls within the prefix;
-ties in the order go by id, then tokens; an empty table gives no rows.
+ties in the order go by id, then tokens; an empty table gives no rows. Rows are
+taken one by one, whether or not others have the same id. With carried columns,
+rows without an id are ordered by a hash of those, which also breaks ties.
 """
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -111,24 +113,30 @@ def mix(
     max_epochs: int = 4,
     weights: Mapping[str, Mapping[str, int]] | None = None,
     seed: int = 11,
+    carry: Sequence[str] = (),
 ) -> DataFrame:
     """One row for each row of ``docs``: id, domain, lang, source, n_tokens,
     copies (how often the mixture holds it), leaf_target, epoch_tokens (where
-    the row ends in the order of the leaf's last, cut epoch)."""
+    the row ends in the order of the leaf's last, cut epoch); with ``carry``, the
+    row's own columns of those names as the struct ``row``."""
     name = lambda c: F.coalesce(c.cast("string"), F.lit(""))
+    own = [F.col(f"`{c}`") for c in carry]
+    more = [F.xxhash64(*own).alias("__h"), F.struct(*own).alias("__row")] if own else []
+    ties, out = (["__h"], [F.col("__row").alias("row")]) if own else ([], [])
     rows = staged(
-        docs.select(F.col(id_col).alias("__id"), name(domain).alias(LEVELS[0]), name(lang).alias(LEVELS[1]), name(source).alias(LEVELS[2]), tokens.cast("long").alias("__t")),
+        docs.select(F.col(id_col).alias("__id"), name(domain).alias(LEVELS[0]), name(lang).alias(LEVELS[1]), name(source).alias(LEVELS[2]), tokens.cast("long").alias("__t"), *more),
         "mixing",
     )
     leaves = staged(rows.groupBy(*LEVELS).agg(F.sum("__t").alias("__tokens"), F.count(F.lit(1)).alias("__rows")), "leaves")
     plan = staged(plan_leaves(leaves, budget, max_epochs, weights or {}), "plan")
 
-    keyed = rows.join(plan, list(LEVELS)).withColumn("__k", order_key(seed, F.col("__epochs"), F.col("__id")))
+    ident = F.coalesce(F.col("__id").cast("string"), F.col("__h").cast("string")) if own else F.col("__id")
+    keyed = rows.join(plan, list(LEVELS)).withColumn("__k", order_key(seed, F.col("__epochs"), ident))
     keyed = keyed.withColumn("__cell", F.expr(f"shiftright(__k, {KEY_BITS} - __bits)"))
     before = Window.partitionBy(*LEVELS).orderBy("__cell").rowsBetween(Window.unboundedPreceding, -1)
     cells = keyed.groupBy(*LEVELS, "__cell").agg(F.sum("__t").alias("__sum"))
     cells = cells.select(*LEVELS, "__cell", F.coalesce(F.sum("__sum").over(before), F.lit(0)).alias("__start"))
-    inside = Window.partitionBy(*LEVELS, "__cell").orderBy("__k", "__id", "__t").rowsBetween(Window.unboundedPreceding, 0)
+    inside = Window.partitionBy(*LEVELS, "__cell").orderBy("__k", "__id", "__t", *ties).rowsBetween(Window.unboundedPreceding, 0)
     upto = F.col("__start") + F.sum("__t").over(inside)
     return (
         keyed.join(cells, [*LEVELS, "__cell"])
@@ -142,5 +150,6 @@ def mix(
             (F.col("__epochs") + F.when((F.col("__upto") <= F.col("__rest")) & (F.col("__rest") > 0), 1).otherwise(0)).cast("long").alias("copies"),
             F.col("__target").cast("long").alias("leaf_target"),
             F.col("__upto").cast("long").alias("epoch_tokens"),
+            *out,
         )
     )

@@ -3,14 +3,16 @@
 import hashlib
 import random
 import re
-from collections import defaultdict
+from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
-from rowdex.llm import fingerprint, ngram_join
+from rowdex.llm import fingerprint, mixing, ngram_join
 from rowdex.llm.components import components
+from rowdex.llm.queries import MIX_SEED, MIX_WEIGHTS, source_domain
 from tests.llm.tables import ODD
 
 LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
@@ -224,3 +226,18 @@ def test_pipeline(spark):
             assert set(after) == set(before)
             assert all(r.decoded_sha256 == hashlib.sha256(before[k].encode()).hexdigest() for k, r in after.items())
         docs, before = out, {k: r.text if name != "byte-level bpe" else "" for k, r in after.items()}
+
+
+def test_mixing_stage_takes_rows_not_ids(spark):
+    """Repeated and null ids: a leaf keeps as many rows of ten tokens as its target holds."""
+    schema = "doc_id long, text string, lang string, source string, n_chars int"
+    rows = [(None if k % 3 == 0 else k % 40, f"w{k} " * 10, ["en", "de", None][k % 3 - k % 2], f"src{k % 8}", k) for k in range(900)]
+    docs = spark.createDataFrame(rows, schema).repartition(5)
+    mixed = mixing.mix(docs, source_domain(), F.col("lang"), F.col("source"), mixing.word_tokens(F.col("text")), budget=corpus_pipeline.MIX_BUDGET, max_epochs=1, weights=MIX_WEIGHTS, seed=MIX_SEED)
+    target = {(r.lang, r.source): r.leaf_target // 10 for r in mixed.collect()}
+    kept = corpus_pipeline.mix_sources(spark, docs, "").collect()
+    assert kept[0].__fields__ == docs.columns
+    assert {tuple(r) for r in kept} <= set(rows) and len({r.n_chars for r in kept}) == len(kept) < len(rows)
+    assert Counter((r.lang or "", r.source) for r in kept) == Counter({k: n for k, n in target.items() if n})
+    again = corpus_pipeline.mix_sources(spark, docs.repartition(2), "").collect()
+    assert set(map(tuple, again)) == set(map(tuple, kept))
