@@ -2,7 +2,8 @@
 
 Each stage takes all rows that the one before it kept, and its decisions hold:
 toxic documents go, one of equal texts stays, one of near copies stays, sources
-are cut to their target weights, and what is left is encoded. All stages but the
+are cut towards their target weights as far as 95 % of the tokens, each document
+at most once, let them (README gives the shares reached), and what is left is encoded. All stages but the
 last return whole rows with the columns of ``documents``.
 """
 
