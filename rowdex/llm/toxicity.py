@@ -5,16 +5,21 @@ toxic texts of the training sample hold far more often than others), the same
 words near a second-person pronoun, capitals and words all in capitals,
 exclamation marks and repeated punctuation, and obfuscated words (digits or
 signs between letters, letters set apart), also those that read as a word of a
-lexicon once undone. In training, a row is measured by lexicons that other rows made. The trees are boosted on the logistic loss over binned
-features; raw sums of trees that did not see a row calibrate the score.
-
-The sample: up to ``most`` labelled texts, the first in the order of a seeded
-hash of the id. Lexicon, trees and calibration depend on that sample alone and
-have bounded sizes, so they can be broadcast; whole texts are read in training
-and in scoring. Defined results: a null text counts as empty; an empty text has
-the score that rows without any feature get; without labels of both kinds every
-score is the rate of label 1 (0 without labels); a label whose id is null or has
-no document is not used, and of several labels for an id the largest counts.
+lexicon once undone. In training, a row is measured by lexicons that other rows
+made. The trees are boosted on the logistic loss over binned features; raw sums of trees that did not see a row calibrate the score.
+
+The sample: up to ``most`` labelled ids, the first in the order of a seeded hash
+of the id, and of each id one text, the one with the smallest hash, so at most
+``most`` rows whether or not ids repeat. Lexicon, trees and calibration depend
+on that sample alone and have bounded sizes, so they can be broadcast; whole
+texts are read in training and in scoring, however long, a few hundred at a
+time. Defined results: a null text counts as empty; an empty text has the score
+that rows without any feature get; without labels of both kinds every score is
+the rate of label 1 (0 without labels); a label whose id is null or has no
+document is not used, and of several labels for an id the largest counts; words
+of equal rank in a lexicon go by name, splits of equal gain by feature and
+value; repeated rows and rows of equal or null id are scored one by one; an
+empty table gives no rows; other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -27,6 +32,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 from rowdex.llm._common import staged
 from rowdex.llm.token_count import rows_at_a_time
@@ -195,9 +201,10 @@ def train(docs: DataFrame, labels: DataFrame, text_col: str, id_col: str, label:
     marked = marked.filter("__id is not null and label in (0, 1)").groupBy("__id").agg(F.max("label").alias("label"))
     chosen = staged(marked.orderBy(F.xxhash64(F.lit(seed), F.col("__id").cast("string")), "__id").limit(most), "toxicity-ids")
     texts = docs.select(F.col(id_col).alias("__id"), F.coalesce(docs[text_col].cast("string"), F.lit("")).alias("text"))
-    # bounded by ``most`` ids
     fold = F.pmod(F.xxhash64(F.lit(seed + 1), F.col("__id").cast("string")), F.lit(FOLDS)).cast("int")
-    sample = staged(texts.join(F.broadcast(chosen), "__id").withColumn("fold", fold), "toxicity")
+    # bounded by ``most`` ids; partial sums leave one text of an id in each task
+    held = texts.join(F.broadcast(chosen), "__id").groupBy("__id", "label").agg(F.min_by("text", F.xxhash64("text")).alias("text"))
+    sample = staged(held.withColumn("fold", fold), "toxicity")
     words = lexicons(sample)
 
     def measure(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -216,8 +223,9 @@ def train(docs: DataFrame, labels: DataFrame, text_col: str, id_col: str, label:
 def score(docs: DataFrame, model: Model, columns: list[Column], text_col: str = "text", name: str = "score") -> DataFrame:
     """``columns`` of each row, then the score of its text."""
     sent = docs.sparkSession.sparkContext.broadcast(model)
+    kept = docs.select(*columns).schema.fields
     rows = docs.select(*columns, docs[text_col].cast("string").alias("__text"))
-    names = rows.columns[:-1]
+    names = [f.name for f in kept]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in rows_at_a_time(batches):
@@ -225,5 +233,4 @@ def score(docs: DataFrame, model: Model, columns: list[Column], text_col: str =
             out = [*(batch.column(k) for k in range(len(names))), pa.array(found, pa.float64())]
             yield pa.RecordBatch.from_arrays(out, [*names, name])
 
-    kept = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in rows.schema if f.name != "__text")
-    return rows.mapInArrow(run, f"{kept}`{name}` double")
+    return rows.mapInArrow(run, StructType([*kept, StructField(name, DoubleType())]))
