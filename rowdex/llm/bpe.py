@@ -3,15 +3,21 @@
 The ranks of a vocabulary give its merge list: the two parts of a token are
 what is left when its bytes are merged by lower ranks alone. A text is cut by
 the pre-token pattern; the library encodes the distinct pre-tokens of a batch,
-whose bytes it sees as printable characters (one for each byte), and gives ids
-and offsets in characters of the text. Decoding reverses that table: ids give
-the bytes of their symbols, and only the bytes joined make characters, so a
-character that two tokens share comes back whole.
+whose bytes it sees as printable characters (one for each byte). Offsets come
+from the bytes that each id stands for and a table from the text's bytes to its
+characters; a character that two tokens share is in the offsets of both.
+Decoding reverses the byte table: the symbols of the ids, as the library spells
+them, become the bytes that their characters stand for, and only the bytes
+joined make characters, so a split character comes back whole.
 
 Ids of pre-tokens are kept during a task in a table of bounded size, and texts
-are taken a few at a time. Defined results: a null text counts as empty and has no token; an id that the
+are taken a few at a time, so memory follows the longest text.
+Defined results: a null text counts as empty and has no token; an id that the
 vocabulary lacks raises KeyError on decoding; bytes that are not UTF-8 decode to
-the replacement character where text is asked for; other columns are ignored.
+the replacement character where text is asked for; pairs of equal rank cannot
+occur, as a rank is one token; repeated rows and rows of equal or null id get a
+row each; an empty table gives no rows; other columns are ignored, whatever
+their names.
 """
 
 from __future__ import annotations
@@ -64,10 +70,15 @@ class Codec:
         ranks = read_ranks(path)
         letters = byte_alphabet()
         spell = lambda token: "".join(map(letters.__getitem__, token))
-        self.tokens = {rank: token for token, rank in ranks.items()}
         merges = [(spell(a), spell(b)) for a, b in merges_of(ranks)]
         self.library = Tokenizer(models.BPE({spell(t): r for t, r in ranks.items()}, merges))
         self.library.pre_tokenizer = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
+        #: What each id's symbol stands for, by the byte table reversed.
+        back = str.maketrans({letter: chr(byte) for byte, letter in letters.items()})
+        self.tokens = {i: symbol.translate(back).encode("latin-1") for symbol, i in self.library.get_vocab().items()}
+        self.widths = np.zeros(max(self.tokens) + 1, np.int64)
+        for i, token in self.tokens.items():
+            self.widths[i] = len(token)
         self.pattern = regex.compile(pattern)
         self.known = Recent()
         self.digits = {rank: str(rank) for rank in self.tokens}
@@ -85,16 +96,23 @@ class Codec:
     def encode(self, texts: list[str]) -> list[list[int]]:
         cut = [self.pattern.findall(t) for t in texts]
         self.learn(set(chain.from_iterable(cut)))
-        return [list(chain.from_iterable(map(self.known.__getitem__, pieces))) for pieces in cut]
-
-    def offsets(self, text: str) -> list[tuple[int, int]]:
-        """Characters [start, end) that each token touches; tokens that share
-        a character both have it."""
-        out = []
-        for piece in self.pattern.finditer(text):
-            found = self.library.encode(piece[0], add_special_tokens=False)
-            out += [(piece.start() + a, piece.start() + b) for a, b in found.offsets]
-        return out
+        return [[*chain.from_iterable(map(self.known.__getitem__, pieces))] for pieces in cut]
+
+    def offsets(self, text: str, ids: list[int]) -> np.ndarray:
+        """The characters [start, end) that each token of a text touches, as two
+        rows; tokens that share a character both have it."""
+        raw = np.frombuffer(text.encode("utf-8", "surrogatepass"), np.uint8)
+        ends = np.cumsum(self.widths[np.fromiter(ids, np.int64, len(ids))])
+        starts = np.r_[0, ends[:-1]] if len(ends) else ends
+        if len(raw) == len(text) and (not len(ends) or ends[-1] == len(raw)):
+            return np.stack([starts, ends])
+        char = np.cumsum((raw & 0xC0) != 0x80) - 1  # the character of each byte
+        if len(ends) and ends[-1] != len(raw):  # the pattern leaves some characters out
+            inside = np.zeros(len(text), bool)
+            for m in self.pattern.finditer(text):
+                inside[m.start() : m.end()] = True
+            char = char[inside[char]]
+        return np.stack([char[starts], char[ends - 1] + 1]) if len(ends) else np.zeros((2, 0), np.int64)
 
     def decode(self, ids: list[int]) -> bytes:
         return b"".join(map(self.tokens.__getitem__, ids))
@@ -115,17 +133,18 @@ def _texts(column: pa.Array) -> list[str]:
 
 
 def encode(docs: DataFrame, vocabulary: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """id, ids (array of int) and offsets (array of start and end) of each text.
-    Where no offsets are asked for, ``round_trip`` gives ids for less work."""
+    """id, ids (array of int) and offsets (array of start and end) of each text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         code = codec(vocabulary, pattern)
-        pairs = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
-        for batch in batches:
-            texts = _texts(batch.column(1))
-            spans = [[{"start": a, "end": b} for a, b in code.offsets(t)] for t in texts]
-            columns = [batch.column(0), pa.array(code.encode(texts), pa.list_(pa.int32())), pa.array(spans, pairs)]
-            yield pa.RecordBatch.from_arrays(columns, [id_col, "ids", "offsets"])
+        for batch in rows_at_a_time(batches):
+            found = [(ids, code.offsets(t, ids)) for texts in in_pieces(_texts(batch.column(1))) for t, ids in zip(texts, code.encode(texts), strict=True)]
+            sizes = pa.array(np.cumsum([0, *(len(ids) for ids, _ in found)]), pa.int32())
+            spans = np.concatenate([np.zeros((2, 0), np.int64), *(s for _, s in found)], 1).astype(np.int32)
+            pairs = pa.StructArray.from_arrays([pa.array(spans[0]), pa.array(spans[1])], ["start", "end"])
+            ids = pa.array(np.fromiter(chain.from_iterable(i for i, _ in found), np.int32, spans.shape[1]))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(sizes, ids), pa.ListArray.from_arrays(sizes, pairs)], [id_col, "ids", "offsets"])
+        code.known.forget()
 
     kind = docs.schema[id_col].dataType.simpleString()
     schema = f"`{id_col}` {kind}, ids array<int>, offsets array<struct<start:int,end:int>>"
@@ -137,7 +156,7 @@ def decode(rows: DataFrame, vocabulary: str, pattern: str, id_col: str = "doc_id
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         code = codec(vocabulary, pattern)
-        for batch in batches:
+        for batch in rows_at_a_time(batches):
             texts = [code.decode(ids or []).decode("utf-8", "replace") for ids in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string())], [id_col, "text"])
 
@@ -145,27 +164,36 @@ def decode(rows: DataFrame, vocabulary: str, pattern: str, id_col: str = "doc_id
     return rows.select(id_col, ids_col).mapInArrow(run, f"`{id_col}` {kind}, text string")
 
 
-def round_trip(docs: DataFrame, vocabulary: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = False) -> DataFrame:
-    """One row for each text: id, n_tokens, and SHA-256 of its ids (decimal, one
-    space between) and of the bytes that these ids decode to; on demand the ids."""
+def round_trip(
+    docs: DataFrame, vocabulary: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = False, with_offsets: bool = False
+) -> DataFrame:
+    """One row for each text: id, n_tokens, SHA-256 of its ids (decimal, one space
+    between) and of the bytes that these ids decode to. with_ids: ids. with_offsets:
+    n_shared, the tokens that start inside a character of the token before, and
+    offsets_sha256, of all starts, then all ends, each four bytes, the low one first."""
+    kinds = [("n_tokens", "long"), ("ids_sha256", "string"), ("decoded_sha256", "string")]
+    kinds += [("ids", "array<int>")] * with_ids + [("n_shared", "long"), ("offsets_sha256", "string")] * with_offsets
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         code = codec(vocabulary, pattern)
         for batch in rows_at_a_time(batches):
-            sizes, named, decoded, kept = [], [], [], []
+            out: dict[str, list] = {name: [] for name, _ in kinds}
             for texts in in_pieces(_texts(batch.column(1))):
-                for ids in code.encode(texts):
-                    sizes.append(len(ids))
-                    named.append(hashlib.sha256(" ".join(map(code.digits.__getitem__, ids)).encode()).hexdigest())
-                    decoded.append(hashlib.sha256(code.decode(ids)).hexdigest())
+                for text, ids in zip(texts, code.encode(texts), strict=True):
+                    out["n_tokens"].append(len(ids))
+                    out["ids_sha256"].append(hashlib.sha256(" ".join(map(code.digits.__getitem__, ids)).encode()).hexdigest())
+                    out["decoded_sha256"].append(hashlib.sha256(code.decode(ids)).hexdigest())
                     if with_ids:
-                        kept.append(np.array(ids, np.int32))
-            columns = [batch.column(0), pa.array(sizes, pa.int64()), pa.array(named, pa.string()), pa.array(decoded, pa.string())]
-            if with_ids:
-                columns.append(pa.array(kept, pa.list_(pa.int32())))
-            yield pa.RecordBatch.from_arrays(columns, [id_col, "n_tokens", "ids_sha256", "decoded_sha256", "ids"][: len(columns)])
+                        out["ids"].append(np.array(ids, np.int32))
+                    if with_offsets:
+                        spans = code.offsets(text, ids)
+                        out["n_shared"].append(int((spans[0, 1:] < spans[1, :-1]).sum()))
+                        out["offsets_sha256"].append(hashlib.sha256(spans.astype("<i4").tobytes()).hexdigest())
+            arrow = {"long": pa.int64(), "string": pa.string(), "array<int>": pa.list_(pa.int32())}
+            columns = [batch.column(0), *(pa.array(out[name], arrow[kind]) for name, kind in kinds)]
+            yield pa.RecordBatch.from_arrays(columns, [id_col, *out])
         code.known.forget()
 
     kind = docs.schema[id_col].dataType.simpleString()
-    schema = f"`{id_col}` {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * with_ids
+    schema = ", ".join([f"`{id_col}` {kind}", *(f"{name} {k}" for name, k in kinds)])
     return docs.select(id_col, docs[text_col].cast("string")).mapInArrow(run, schema)

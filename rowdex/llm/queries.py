@@ -75,7 +75,7 @@ def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op7_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents", "doc_id", "text")
-    return bpe.round_trip(docs, vocabulary("byte_bpe_50k.tiktoken"), pretoken_pattern())
+    return bpe.round_trip(docs, vocabulary("byte_bpe_50k.tiktoken"), pretoken_pattern(), with_offsets=True)
 
 
 def op8_shard(spark: SparkSession, sf_dir: str) -> DataFrame:
