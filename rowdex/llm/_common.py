@@ -71,6 +71,17 @@ def read_table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> Da
     return df.select(*columns) if columns else df
 
 
+def named(name: str) -> Column:
+    """A column by its whole name, whatever characters that has."""
+    return F.col("`" + name.replace("`", "``") + "`")
+
+
+def packed(df: DataFrame, name: str = "row") -> Column:
+    """All columns of ``df`` as one struct: beside it an operator's own columns
+    cannot clash with theirs."""
+    return F.struct(*[named(c) for c in df.columns]).alias(name)
+
+
 class BitFilter:
     """A set of long hashes as a bitmap of fixed size, kept as a table of words.
 
@@ -79,6 +90,9 @@ class BitFilter:
     the default 2**22 bits, 65,536 rows and 1 MB), so it can be broadcast.
     """
 
+    #: The most bits that ``sized`` takes: a million words, 16 MB.
+    MOST_BITS = 26
+
     def __init__(self, hashes: DataFrame, column: str, bits: int = 22):
         slot = F.col(column).bitwiseAND((1 << bits) - 1)
         self.bits = bits
@@ -91,13 +105,33 @@ class BitFilter:
             .agg(F.bit_or("__mask").alias("__mask"))
         )
 
+    @classmethod
+    def sized(cls, hashes: DataFrame, column: str) -> BitFilter:
+        """About 16 bits for each hash, within bounds; beyond them it accepts more."""
+        return cls(hashes, column, min(cls.MOST_BITS, max(16, (16 * hashes.count()).bit_length())))
+
     def keep(self, df: DataFrame, column: str) -> DataFrame:
         """The rows of ``df`` whose hash may be in the set; no shuffle of ``df``."""
+        return self.mark(df, column, "inner").filter("__maybe").drop("__maybe")
+
+    def mark(self, df: DataFrame, column: str, how: str = "left") -> DataFrame:
+        """Adds ``__maybe``: whether the hash may be in the set."""
         slot = F.col(column).bitwiseAND((1 << self.bits) - 1)
         bit = F.expr(f"shiftleft(1L, cast(`{column}` & 63 as int))")
-        return (
-            df.withColumn("__word", F.shiftright(slot, 6))
-            .join(F.broadcast(self.words), "__word")
-            .filter(F.col("__mask").bitwiseAND(bit) != 0)
-            .drop("__word", "__mask")
-        )
+        maybe = F.coalesce(F.col("__mask").bitwiseAND(bit) != 0, F.lit(False))
+        rows = df.withColumn("__word", F.shiftright(slot, 6)).join(F.broadcast(self.words), "__word", how)
+        return rows.withColumn("__maybe", maybe).drop("__word", "__mask")
+
+
+def rows_without(rows: DataFrame, gone: DataFrame, keys: list[str]) -> DataFrame:
+    """The rows of ``rows`` whose keys (not null) are not in ``gone``, a written
+    table of distinct keys. Rows that a filter of these keys refuses stay where
+    they are; only the others are shuffled to meet them."""
+    if not gone.take(1):
+        return rows
+    mark = F.xxhash64(*keys)
+    slots = BitFilter.sized(gone.select(mark.alias("h")), "h")
+    marked = slots.mark(rows.withColumn("__h", mark), "__h")
+    stay = marked.filter(~F.col("__maybe")).drop("__maybe", "__h")
+    met = marked.filter("__maybe").drop("__maybe", "__h").join(gone, keys, "left_anti")
+    return stay.unionByName(met)

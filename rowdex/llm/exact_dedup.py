@@ -1,22 +1,31 @@
-"""Exact deduplication over a log-structured index of text digests.
-
-Writing is append only. A *memtable* is what one task holds of its input split:
-it is sorted by digest and flushed as one Parquet file, a *run*, with a bloom
-filter on the digest and per-page bounds from the sort. No row moves between
-executors for that. *Compaction* merges all runs into the next level: one entry
-for each digest with the identifier that stays and the number of rows. Copies
-of one text are combined inside each task before the merge shuffles, so a text
-that holds a third of all rows sends one entry per task.
+"""Exact deduplication over a log-structured merge index of text digests.
+
+Writing is append only. A *memtable* is what a task holds of its input: its
+entries are sorted by digest and flushed as *runs*, Parquet files of at most
+``MEMTABLE`` entries each. Runs fall into generations by the task that wrote
+them; no row moves between executors for that.
+
+*Compaction* has two tiers. The first merges the runs of each generation: one
+entry for each digest, with the identifier that stays and the number of rows;
+copies are combined inside each task before that shuffles, so a text that holds
+a third of all rows sends one entry per task. With it goes the generation's
+*filter*, a bitmap of its digests. The second tier probes each entry against the
+filters of the other generations: what all of them refuse stands in no other
+generation and is final; the rest meets in one more merge. The filters together
+have a bounded size (``DigestIndex.filter_bits``), so with very many digests
+they let more through to that merge, and never lose one.
 
 A *hit* is a digest with more than one row. Its texts are compared byte for
 byte (rows are grouped by digest and text); a digest that turns out to hold
-different texts is resolved by text instead. Only rows that the fixed-size
-filter of hit digests lets through carry their text into that comparison.
-
-DataFrame operations only. Defined results: a null text counts as empty; rows
-that repeat both id and text are one document and share its verdict; a null id
-stays only where no row of the group has an id; an empty table gives no rows;
-other columns of the input are ignored.
+different texts is resolved by text instead. Only rows that the filter of hit
+digests lets through carry their text into that comparison.
+
+DataFrame operations only. Defined results: a null text counts as empty; a long
+text is one value, as digests make entries equally short; rows that repeat both
+id and text are one document and share its verdict; a null id stays only where
+no row of the group has an id; an empty table gives no rows; other columns of
+the input are ignored, whatever their names, and kept as they are by
+``drop_exact_duplicates``.
 """
 
 from __future__ import annotations
@@ -24,11 +33,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rowdex.llm._common import BitFilter, ascii_lower, staged, staging_path
+from rowdex.llm._common import BitFilter, ascii_lower, named, packed, rows_without, staged, staging_path
+
+#: Entries of a run, and generations of runs that a flush makes.
+MEMTABLE, GENERATIONS = 1_000_000, 4
 
 
 class DigestIndex:
-    """Sorted runs of (digest, id) below one folder, and their compaction.
+    """Generations of sorted runs of (sha, id) below one folder, and their compaction.
 
     keep: "smallest" or "largest", the identifier that stays of equal digests.
     digest_bytes: how much of the SHA-256 is the key; 32 but in tests.
@@ -42,40 +54,62 @@ class DigestIndex:
         self.digest_bytes, self.generations, self.level = digest_bytes, 0, None
 
     def entries(self, docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-        text = ascii_lower(F.coalesce(F.col(text_col).cast("string"), F.lit("")))
-        return docs.select(F.col(id_col).alias("id"), text.alias("text")).withColumn("sha", F.unhex(F.sha2("text", 256)))
+        text = ascii_lower(F.coalesce(named(text_col).cast("string"), F.lit("")))
+        return docs.select(named(id_col).alias("id"), text.alias("text")).withColumn("sha", F.unhex(F.sha2("text", 256)))
 
     def key(self, sha: str = "sha"):
         return F.expr(f"substring({sha}, 1, {self.digest_bytes})") if self.digest_bytes < 32 else F.col(sha)
 
-    def _write(self, df: DataFrame, name: str) -> str:
-        path = f"{self.folder}/{name}"
-        column = "key" if "key" in df.columns else "sha"
-        df.sortWithinPartitions(column).write.option(f"parquet.bloom.filter.enabled#{column}", "true").option(
-            "parquet.bloom.filter.max.bytes", str(256 * 1024)
-        ).parquet(path)
-        return path
-
-    def flush(self, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> None:
-        """Adds one generation of runs, one sorted run from each task."""
-        self._write(self.entries(docs, id_col, text_col).select("sha", "id"), f"runs/{self.generations:05d}")
-        self.generations += 1
+    def flush(self, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", generations: int = 1) -> None:
+        """Adds generations of runs; a task's runs are in one of them."""
+        own = F.lit(self.generations) + F.pmod(F.spark_partition_id(), F.lit(generations))
+        rows = self.entries(docs, id_col, text_col).select("sha", "id", own.alias("generation"))
+        rows = rows.sortWithinPartitions("generation", "sha").write.mode("append").option("maxRecordsPerFile", MEMTABLE)
+        rows.partitionBy("generation").parquet(f"{self.folder}/runs")
+        self.schema = rows_schema(docs, id_col)
+        self.generations += generations
 
     def runs(self) -> DataFrame:
-        return self.spark.read.parquet(*[f"{self.folder}/runs/{g:05d}" for g in range(self.generations)])
+        return self.spark.read.schema(self.schema).parquet(f"{self.folder}/runs")
+
+    def filter_bits(self, entries: int) -> int:
+        """About 8 bits for each entry of a generation; 2**24 (2 MB) at most."""
+        return min(24, max(16, (8 * entries // max(1, self.generations)).bit_length()))
+
+    def merge(self) -> DataFrame:
+        """The first tier: (generation, key, keep, n), for each digest of a generation."""
+        rows = self.runs().groupBy("generation", self.key().alias("key"))
+        return staged(rows.agg(self.best("id").alias("keep"), F.count(F.lit(1)).alias("n")).withColumn("h", F.xxhash64("key")), "tier")
+
+    def filters(self, tier: DataFrame, bits: int) -> DataFrame:
+        """The filters of all generations: (word, m0, m1, ...), a mask for each."""
+        slot = F.col("h").bitwiseAND((1 << bits) - 1)
+        rows = tier.select("generation", F.shiftright(slot, 6).alias("word"), F.expr("shiftleft(1L, cast(h & 63 as int))").alias("bit"))
+        masks = [F.bit_or(F.when(F.col("generation") == g, F.col("bit")).otherwise(F.lit(0))).alias(f"m{g}") for g in range(self.generations)]
+        return rows.groupBy("word").agg(*masks)
 
     def compact(self) -> DataFrame:
-        """Merges every run into one level: (key, keep, n), sorted by key."""
-        merged = self.runs().groupBy(self.key().alias("key")).agg(self.best("id").alias("keep"), F.count(F.lit(1)).alias("n"))
-        path = self._write(merged, f"level/{self.generations:05d}")
-        self.level = self.spark.read.parquet(path)
+        """Merges every run into one level: (key, keep, n)."""
+        tier = self.merge()
+        bits = self.filter_bits(tier.count())
+        slot = F.col("h").bitwiseAND((1 << bits) - 1)
+        others = [F.when(F.col("generation") == g, F.lit(0)).otherwise(F.col(f"m{g}")) for g in range(self.generations)]
+        seen = others[0]
+        for mask in others[1:]:
+            seen = seen.bitwiseOR(mask)
+        # 2**bits / 64 rows of a mask for each generation
+        probed = tier.withColumn("word", F.shiftright(slot, 6)).join(F.broadcast(self.filters(tier, bits)), "word")
+        probed = probed.withColumn("elsewhere", seen.bitwiseAND(F.expr("shiftleft(1L, cast(h & 63 as int))")) != 0)
+        alone = probed.filter(~F.col("elsewhere")).select("key", "keep", "n")
+        met = probed.filter("elsewhere").groupBy("key").agg(self.best("keep").alias("keep"), F.sum("n").alias("n"))
+        self.level = staged(alone.unionByName(met), "level")
         return self.level
 
     def verify(self, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame | None]:
         """Byte verification of all hits. Gives the digests with one text as
         (key, keep, n), and those with several as (key, text, keep, n) or None."""
         hits = self.level.filter("n > 1")
-        slots = BitFilter(hits.select(F.xxhash64("key").alias("h")), "h")
+        slots = BitFilter.sized(hits.select(F.xxhash64("key").alias("h")), "h")
         rows = self.entries(docs, id_col, text_col).select("id", "text", self.key().alias("key"))
         rows = slots.keep(rows.withColumn("h", F.xxhash64("key")), "h").drop("h")
         by_text = rows.groupBy("key", "text").agg(self.best("id").alias("keep"), F.count(F.lit(1)).alias("n"))
@@ -88,6 +122,10 @@ class DigestIndex:
         return groups.filter("texts = 1 and n > 1").drop("texts"), several
 
 
+def rows_schema(docs: DataFrame, id_col: str) -> str:
+    return f"sha binary, id {docs.schema[id_col].dataType.simpleString()}, generation int"
+
+
 def exact_duplicates(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: str = "smallest", digest_bytes: int = 32
 ) -> DataFrame:
@@ -96,12 +134,12 @@ def exact_duplicates(
     Texts are equal when identical after lower-casing A-Z.
     """
     index = DigestIndex(docs.sparkSession, keep=keep, digest_bytes=digest_bytes)
-    index.flush(docs, id_col, text_col)
+    index.flush(docs, id_col, text_col, GENERATIONS)
     index.compact()
     one_text, several = index.verify(docs, id_col, text_col)
 
     # A key with many rows splits at the join: the entry on the other side is one short row.
-    joined = index.runs().withColumn("key", index.key()).join(one_text, "key", "left")
+    joined = index.runs().select("sha", "id", index.key().alias("key")).join(one_text, "key", "left")
     if several is not None:
         marked = several.select(F.sha2("text", 256).alias("hex"), "text", F.col("keep").alias("k2"), F.col("n").alias("n2"))
         texts = index.entries(docs, id_col, text_col).withColumn("key", index.key())
@@ -122,12 +160,23 @@ def exact_duplicates(
 
 def drop_exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: str = "smallest") -> DataFrame:
     """The rows of ``docs`` that stay, with all their columns; one of rows that
-    repeat both id and text."""
-    verdicts = staged(exact_duplicates(docs, id_col, text_col, keep).select(F.col(id_col).alias("__id"), "kept", F.unhex("text_sha256").alias("__s")), "verdicts")
-    text = ascii_lower(F.coalesce(F.col(text_col).cast("string"), F.lit("")))
-    marked = docs.withColumn("__sha", F.unhex(F.sha2(text, 256)))
-    gone = verdicts.filter(~F.col("kept")).select("__id", "__s").distinct()
-    left = marked.join(gone, marked[id_col].eqNullSafe(F.col("__id")) & (F.col("__sha") == F.col("__s")), "left_anti")
-    if verdicts.filter("kept").groupBy("__id", "__s").count().filter("count > 1").take(1):
-        left = left.dropDuplicates([id_col, "__sha"])
-    return left.drop("__sha")
+    repeat both id and text. Rows move only where a filter of what goes, or of
+    what repeats, lets them through."""
+    found = exact_duplicates(docs, id_col, text_col, keep)
+    verdicts = staged(found.select(_id_text(named(id_col)), F.unhex("text_sha256").alias("sha"), "kept"), "verdicts")
+    text = ascii_lower(F.coalesce(named(text_col).cast("string"), F.lit("")))
+    rows = docs.select(_id_text(named(id_col)), F.unhex(F.sha2(text, 256)).alias("sha"), packed(docs))
+    gone = verdicts.filter(~F.col("kept")).select("id", "sha").distinct()
+    left = rows_without(rows, staged(gone, "gone"), ["id", "sha"])
+    again = staged(verdicts.filter("kept").groupBy("id", "sha").count().filter("count > 1").select("id", "sha"), "again")
+    if again.take(1):
+        mark = F.xxhash64("id", "sha")
+        marked = BitFilter.sized(again.select(mark.alias("h")), "h").mark(left.withColumn("h", mark), "h")
+        once = marked.filter("__maybe").dropDuplicates(["id", "sha"])
+        left = marked.filter(~F.col("__maybe")).unionByName(once)
+    return left.select("row.*")
+
+
+def _id_text(ident):
+    """An id as text without nulls: the empty text for null, else behind a mark."""
+    return F.coalesce(F.concat(F.lit("="), ident.cast("string")), F.lit("")).alias("id")
