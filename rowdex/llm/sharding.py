@@ -1,23 +1,33 @@
 """Seeded sharding by a two-pass external shuffle.
 
 Pass one scatters records into cells: the shard, and inside it a bucket small
-enough for memory, both from seeded hashes of the identifier. The shard is the
-one with the highest of its hashes (rendezvous hashing), so it depends on the
-identifier and the shard count alone, and one more shard takes records only
-into itself. Pass two shuffles each cell with Spark's ``shuffle``, a
-Fisher-Yates shuffle with a seed, and numbers the records; a cell starts where
-the cells before it in its shard end.
+enough for memory, both from seeded hashes. The shard comes from the identifier,
+as the one with the highest of its hashes (rendezvous hashing), so it depends on
+the identifier and the shard count alone, and one more shard takes records only
+into itself. The bucket comes from the identifier and the text; each shard has
+as many as its own bytes need. Pass two shuffles each cell with Spark's
+``shuffle``, a Fisher-Yates shuffle with a seed, and numbers the records; a cell
+starts where the cells before it in its shard end.
+
+Records that repeat both identifier and text, and together outgrow a cell, are
+told by a filter of fixed size over the sums of such groups. They go to buckets
+by the input partition too, so that no cell holds what one key has in all of
+them, however many that are.
 
 The order is the same on every run: cells keep their partition (its number is
 given), are sorted inside it, and hold their records sorted before the shuffle.
-A task that is run again after a lost executor gives the same rows.
-
-DataFrame operations only. A source, a text or a length that is frequent does not load a
-cell, as only the identifier places a record. Defined results: a null text has
-size 1; null ids hash as empty text (inside the shard their text chooses the
-cell, so that many of them fill no single one); repeated rows share a cell and
-take a slot each; an empty table gives no rows. Records are written with all
-their columns, of which none may be named shard or __slot.
+A task that is run again after a lost executor gives the same rows. On other
+input partitions it is the same too, but for shards with records told by that
+filter.
+
+DataFrame operations only. A source, a text or a length that is frequent does
+not load a cell. Defined results: a null text has size 1; null ids hash as empty
+text; whole texts are kept, and a text longer than a cell has one with few
+others; equal records take a slot each, and as they are equal, which has which
+does not matter; an empty table gives no rows and writes no record. Records are
+written with all their columns under whatever names: the shard's folder and the
+slot's column are called ``shard`` and ``__slot`` with underscores added until
+no column of the records has that name (``layout_names``).
 """
 
 from __future__ import annotations
@@ -27,42 +37,61 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window
 from pyspark.sql.types import IntegerType, LongType, StructField, StructType
 
-from rowdex.llm._common import staging_path
+from rowdex.llm._common import BitFilter, named, staging_path
 
 
-def rendezvous(id_col: str, shards: int, seed: int) -> Column:
+def rendezvous(ident: Column, shards: int, seed: int) -> Column:
     """Shard of an identifier among ``shards``, from 0."""
-    ident = F.coalesce(F.col(id_col).cast("string"), F.lit(""))
+    ident = F.coalesce(ident.cast("string"), F.lit(""))
     marks = F.array(*[F.xxhash64(F.lit(seed), F.lit(s), ident) for s in range(shards)])
     return (F.array_position(marks, F.array_max(marks)) - 1).cast("int")
 
 
-def shuffled_cells(records: DataFrame, id_col: str, text_col: str, size_col: str, seed: int, cell_bytes: int) -> DataFrame:
-    """``records`` has __shard; adds __slot, gapless from 0 in each shard."""
-    columns = records.columns
-    total = records.agg(F.sum(size_col), F.count_distinct("__shard")).first()
-    per_shard = max(1, -(-int(total[0] or 0) // max(1, total[1]) // cell_bytes))
-    cells = per_shard * max(1, total[1])
-    ident = F.coalesce(F.col(id_col).cast("string"), F.lit(""))
-    # a null does not change the hash: only rows without an id are placed by text
-    unnamed = F.when(F.col(id_col).isNull(), F.col(text_col).cast("string"))
-    placed = records.withColumn("__cell", F.pmod(F.xxhash64(F.lit(seed), F.lit("cell"), ident, unnamed), F.lit(per_shard)))
+def layout_names(columns: list[str]) -> tuple[str, str]:
+    """Names of the shard's folder and of the slot beside these columns."""
+    taken, out = {c.lower() for c in columns}, []
+    for name in ("shard", "__slot"):
+        while name in taken:
+            name += "_"
+        out.append(name)
+    return out[0], out[1]
+
+
+def shuffled_cells(docs: DataFrame, id_col: str, text_col: str, shards: int, seed: int, cell_bytes: int) -> DataFrame:
+    """__shard, __slot (gapless from 0 in each shard) and the record as __row."""
+    text = F.coalesce(named(text_col).cast("string"), F.lit(""))
+    ident = F.coalesce(named(id_col).cast("string"), F.lit(""))
+    record = F.struct(named(id_col), *[named(c) for c in docs.columns if c != id_col])
+    records = docs.select(
+        rendezvous(named(id_col), shards, seed).alias("__shard"),
+        F.xxhash64(F.lit(seed), F.lit("cell"), ident, text).alias("__mark"),
+        (F.octet_length(text) + 1).cast("long").alias("__size"),
+        record.alias("__row"),
+    )
+    sums = dict(records.groupBy("__shard").agg(F.sum("__size")).collect())  # a row for each shard
+    cells = [max(1, -(-int(sums.get(k, 0)) // cell_bytes)) for k in range(shards)]
+    large = records.groupBy("__mark").agg(F.sum("__size").alias("__s")).filter(F.col("__s") > cell_bytes)
+    told = BitFilter(large, "__mark").mark(records, "__mark")
+    bucket = F.when(F.col("__maybe"), F.xxhash64("__mark", F.spark_partition_id())).otherwise(F.col("__mark"))
+    of_shard = F.element_at(F.array(*[F.lit(n).cast("long") for n in cells]), F.col("__shard") + 1)
+    placed = told.withColumn("__cell", F.pmod(bucket, of_shard)).select("__shard", "__cell", "__row")
 
     in_shard = Window.partitionBy("__shard").orderBy("__cell").rowsBetween(Window.unboundedPreceding, -1)
     starts = placed.groupBy("__shard", "__cell").agg(F.count(F.lit(1)).alias("__n"))
     starts = starts.select("__shard", "__cell", F.coalesce(F.sum("__n").over(in_shard), F.lit(0)).alias("__start"))
 
     held = (
-        placed.repartition(min(cells, 100_000), "__shard", "__cell")
+        placed.repartition(min(sum(cells), 100_000), "__shard", "__cell")
         .groupBy("__shard", "__cell")
-        .agg(F.sort_array(F.collect_list(F.struct(id_col, *[c for c in columns if c not in (id_col, "__shard")]))).alias("__rows"))
+        .agg(F.sort_array(F.collect_list("__row")).alias("__rows"))
         .sortWithinPartitions("__shard", "__cell")
         .select("__shard", "__cell", F.shuffle("__rows", F.lit(seed)).alias("__rows"))
     )
+    # ``starts`` has a row for each cell: total bytes over cell_bytes, and one for each shard
     return (
-        held.join(F.broadcast(starts), ["__shard", "__cell"])  # a row for each cell
+        held.join(F.broadcast(starts), ["__shard", "__cell"])
         .select("__shard", "__start", F.posexplode("__rows").alias("__pos", "__row"))
-        .select("__shard", (F.col("__start") + F.col("__pos")).alias("__slot"), "__row.*")
+        .select("__shard", (F.col("__start") + F.col("__pos")).cast("long").alias("__slot"), "__row")
     )
 
 
@@ -74,16 +103,17 @@ def assign_shards(
     were one more."""
     path = staging_path(docs.sparkSession, "shards")
     write_shards(docs, path, id_col, text_col, shards, seed, cell_bytes)
-    schema = StructType([*docs.schema.fields, StructField("__slot", LongType()), StructField("shard", IntegerType())])
-    text = F.coalesce(F.col(text_col).cast("string"), F.lit("")).cast("binary")
+    folder, slot = layout_names(docs.columns)
+    schema = StructType([*docs.schema.fields, StructField(slot, LongType()), StructField(folder, IntegerType())])
+    text = F.coalesce(named(text_col).cast("string"), F.lit("")).cast("binary")
     return docs.sparkSession.read.schema(schema).parquet(path).select(
-        id_col,
+        named(id_col),
         (F.octet_length(text) + 1).cast("long").alias("size"),
         F.crc32(text).alias("text_crc32"),
         F.lit("key").alias("law"),
-        "shard",
-        F.col("__slot").alias("slot"),
-        rendezvous(id_col, shards + 1, seed).alias("grown_shard"),
+        F.col(folder).alias("shard"),
+        F.col(slot).alias("slot"),
+        rendezvous(named(id_col), shards + 1, seed).alias("grown_shard"),
     )
 
 
@@ -92,8 +122,8 @@ def write_shards(
 ) -> None:
     """Writes whole records, shuffled, below ``path/shard=N``. A file holds whole
     cells in order of slot; the column __slot gives the place in the shard."""
-    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    sized = docs.withColumns({"__size": (F.octet_length(text) + 1).cast("long"), "__shard": rendezvous(id_col, shards, seed)})
-    rows = shuffled_cells(sized, id_col, text_col, "__size", seed, cell_bytes).drop("__size")
-    rows = rows.withColumnRenamed("__shard", "shard").withColumn("__slot", F.col("__slot").cast("long"))
-    rows.sortWithinPartitions("shard", "__slot").write.partitionBy("shard").parquet(path)
+    folder, slot = layout_names(docs.columns)
+    rows = shuffled_cells(docs, id_col, text_col, shards, seed, cell_bytes)
+    own = [F.col("__row")[c].alias(c) for c in docs.columns]
+    rows = rows.select(*own, F.col("__slot").alias(slot), F.col("__shard").alias(folder))
+    rows.sortWithinPartitions(folder, slot).write.partitionBy(folder).parquet(path)
