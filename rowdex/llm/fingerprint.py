@@ -11,15 +11,18 @@ one twice the other): 1 less the edit distance (insert or delete) over the sum o
 and 0 unless the signatures share some characters in a row (four; down to two where one is short). Distances of a batch are found together, one bit for each character.
 
 ``edit_report`` needs the document that comes next in descending order of id.
-Rows are dealt once, by ranges of ids, and sorted; the first row of each range
-goes also to the range before it. Only the range bounds and first ids are known
-to the driver, a number that the bytes of the table over ``range_bytes`` bound.
+Rows are dealt once, by Spark's ranges of id, text hash and input partition, and
+sorted; a task finishes all its rows but the last, whose next one is the first
+row of a later range. These two rows of each range, with their texts, are
+written with the finished ones and joined by the number of the range, a table
+with one short row for each range. The driver holds no ids.
 
 Texts are read whole, in segments, so memory follows the batch and not a
 multiple of the longest text. Defined results: a null text counts as empty; the
 empty text has an empty signature, which is like another empty one (1.0) and
-nothing else; rows of equal id go by text; null ids come last; a single row is
-its own next one; other columns are ignored.
+nothing else; rows of equal id go by a hash of the text, equal rows by the input
+partition; null ids come last; a single row is its own next one; an empty table
+gives no rows; other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -28,12 +31,14 @@ import hashlib
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import Window
 
+from rowdex.llm._common import named, staged
 from rowdex.llm._hashing import BASE, SEGMENT, UP, down
+from rowdex.llm.token_count import rows_at_a_time
 
 WINDOW, LEAST_LEVEL, LENGTH, SHARED = 7, 2, 64, 4
 ALPHABET = np.frombuffer(b"ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/", np.uint8)
@@ -138,7 +143,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     """id and fingerprint of each text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in rows_at_a_time(batches):
             found = pa.array([fingerprint(t) for t in batch.column(1).to_pylist()], pa.string())
             yield pa.RecordBatch.from_arrays([batch.column(0), found], [id_col, "fingerprint"])
 
@@ -146,82 +151,91 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     return docs.select(id_col, docs[text_col].cast("string")).mapInArrow(run, f"`{id_col}` {kind}, fingerprint string")
 
 
-def with_next(docs: DataFrame, id_col: str, text_col: str, range_bytes: int) -> DataFrame:
-    """Rows dealt by ranges of ids and sorted: __part, __halo (a copy of the row
-    that follows the range), id, text."""
-    rows = docs.select(F.col(id_col).cast("long").alias("__id"), F.coalesce(docs[text_col].cast("string"), F.lit("")).alias("__text"))
-    size = rows.agg(F.sum(F.octet_length("__text")), F.count(F.lit(1)), F.count("__id")).first()
+def in_ranges(docs: DataFrame, id_col: str, text_col: str, range_bytes: int) -> DataFrame:
+    """id and text, dealt by ranges of descending id and sorted."""
+    rows = docs.select(named(id_col).cast("long").alias("id"), F.coalesce(named(text_col).cast("string"), F.lit("")).alias("text"))
+    size = rows.agg(F.sum(F.octet_length("text")), F.count(F.lit(1))).first()
     parts = max(1, min(int(size[1]), -(-int(size[0] or 0) // range_bytes)))
-    bounds: list[int] = []
-    if parts > 1 and size[2]:
-        steps = [k / parts for k in range(1, parts)]
-        bounds = sorted(set(rows.agg(F.percentile_approx("__id", steps, max(10_000, 10 * parts))).first()[0]))
-    edges = np.array(bounds, np.int64)
-
-    @F.pandas_udf("int")
-    def part_of(ids: pd.Series) -> pd.Series:
-        held = ids.isna()
-        return pd.Series(np.where(held, -1, np.searchsorted(edges, ids.fillna(0).astype("int64"), "right"))).astype("int32")
-
-    firsts = rows.select("__id").groupBy(part_of("__id").alias("p")).agg(F.max("__id").alias("first")).orderBy("p").collect()
-    # the first row of a range follows the last row of the range above it
-    found = [r["p"] for r in firsts]
-    target = {r["first"]: found[(k + 1) % len(found)] for k, r in enumerate(firsts)}
-    known = np.array(sorted(i for i in target if i is not None), np.int64)
-    to = np.array([target[i] for i in known.tolist()], np.int32)
-    null_to = target.get(None, -2)
-
-    @F.pandas_udf("array<int>")
-    def places(ids: pd.Series) -> pd.Series:
-        own = ids.isna().to_numpy()
-        value = ids.fillna(0).astype("int64").to_numpy()
-        part = np.where(own, -1, np.searchsorted(edges, value, "right"))
-        at = np.minimum(np.searchsorted(known, value), max(0, len(known) - 1))
-        out = []
-        for k, (p, missing) in enumerate(zip(part.tolist(), own.tolist(), strict=True)):
-            if missing:
-                out.append([p] if null_to == -2 else [p, null_to])
-            elif len(known) and known[at[k]] == value[k]:
-                out.append([p, int(to[at[k]])])
-            else:
-                out.append([p])
-        return pd.Series(out)
-
-    dealt = rows.select("__id", "__text", F.posexplode(places("__id")).alias("__halo", "__part"))
-    return dealt.repartition(parts, "__part").sortWithinPartitions("__part", "__halo", F.desc_nulls_last("__id"), "__text")
+    # equal ids and equal rows, however many, do not meet in one range
+    keys = [F.desc_nulls_last("id"), F.col("mark"), F.col("origin")]
+    rows = rows.withColumns({"mark": F.xxhash64("text"), "origin": F.spark_partition_id()})
+    return rows.repartitionByRange(parts, *keys).sortWithinPartitions(*keys).select("id", "text", F.spark_partition_id().alias("part"))
+
+
+NAMES = ["n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"]
+KINDS = [pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.float64()]
+SCHEMA = "n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
+
+
+def report(text: str, own: str, after: str) -> tuple[int, str, str, str]:
+    """Length, digest of the edited text, fingerprint, and that of the edited text."""
+    moved = len(text) // 3
+    edited = text[: len(text) - moved] + after[:moved]
+    return len(text), hashlib.sha256(edited.encode("utf-8", "surrogatepass")).hexdigest(), own, fingerprint(edited)
+
+
+def measured(held: list[tuple]) -> list[list]:
+    """Columns of rows of ``report`` and the next fingerprint."""
+    sizes, shas, own, edited, following = map(list, zip(*held, strict=True))
+    return [sizes, shas, own, edited, likeness(own, edited), likeness(own, following)]
 
 
 def edit_report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", range_bytes: int = 16 << 20) -> DataFrame:
     """For each document its fingerprint and that of its edited text, in which
     the last third gives way to the start of the next document, and the likeness
     of its fingerprint to that one and to the next document's."""
-    names = ["n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"]
-    kinds = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.float64()]
+    schema = pa.schema([("id", pa.int64()), *zip(NAMES, KINDS, strict=True), ("part", pa.int32()), ("edge", pa.int32()), ("text", pa.string())])
 
-    def flush(held: list[tuple]) -> pa.RecordBatch:
-        ids, sizes, shas, own, edited, following = map(list, zip(*held, strict=True))
-        columns = [ids, sizes, shas, own, edited, likeness(own, edited), likeness(own, following)]
-        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], [id_col, *names])
+    def batch_of(columns: list[list]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, schema, strict=True)], schema=schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple] = []
-        last = None  # part, id, text and fingerprint of the row whose next one is due
-        for batch in batches:
-            for ident, text, halo, part in zip(*(batch.column(k).to_pylist() for k in range(4)), strict=True):
-                if halo and (last is None or last[0] != part):
-                    continue
+        ids, held = [], []
+        last, part = None, None  # id, text and fingerprint of the row whose next one is due
+
+        def flush() -> pa.RecordBatch:
+            none = [None] * len(ids)
+            out = batch_of([ids[:], *measured(held), none, none, none])
+            ids.clear()
+            held.clear()
+            return out
+
+        def edge(which: int, ident: int | None, text: str) -> pa.RecordBatch:
+            return batch_of([[ident], *([None] for _ in KINDS), [part], [which], [text]])
+
+        for batch in rows_at_a_time(batches):
+            for ident, text, number in zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True):
                 own = fingerprint(text)
-                if last is not None and last[0] == part:
-                    moved = len(last[2]) // 3
-                    edited = last[2][: len(last[2]) - moved] + text[:moved]
-                    sha = hashlib.sha256(edited.encode("utf-8", "surrogatepass")).hexdigest()
-                    held.append((last[1], len(last[2]), sha, last[3], fingerprint(edited), own))
-                last = None if halo else (part, ident, text, own)
+                if last is None:
+                    part = number
+                    yield edge(0, ident, text)
+                else:
+                    ids.append(last[0])
+                    held.append((*report(last[1], last[2], text), own))
+                last = ident, text, own
                 if len(held) >= 1000:
-                    yield flush(held)
-                    held = []
+                    yield flush()
         if held:
-            yield flush(held)
-
-    schema = f"`{id_col}` long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
-    return with_next(docs, id_col, text_col, range_bytes).mapInArrow(run, schema)
+            yield flush()
+        if last is not None:
+            yield edge(1, last[0], last[1])
+
+    found = staged(in_ranges(docs, id_col, text_col, range_bytes).mapInArrow(run, f"id long, {SCHEMA}, part int, edge int, text string"), "reports")
+    done = found.filter("edge is null").select("id", *NAMES)
+
+    # one row for each range, in order; the last one's next is the first
+    firsts = found.filter("edge = 0")
+    order = firsts.select("part", F.min("part").over(Window.partitionBy()).alias("first"), F.lead("part").over(Window.orderBy("part")).alias("after"))
+    order = order.select("part", F.coalesce("after", "first").alias("after"))
+    lasts = found.filter("edge = 1").select("id", "text", "part").join(order, "part")
+    pairs = lasts.join(firsts.select(F.col("part").alias("after"), F.col("text").alias("next_text")), "after").select("id", "text", "next_text")
+
+    def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in rows_at_a_time(batches, 50):
+            texts, following = batch.column(1).to_pylist(), batch.column(2).to_pylist()
+            if texts:
+                columns = measured([(*report(t, fingerprint(t), n), fingerprint(n)) for t, n in zip(texts, following, strict=True)])
+                yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, k) for c, k in zip(columns, KINDS, strict=True))], ["id", *NAMES])
+
+    rows = done.unionByName(pairs.mapInArrow(finish, f"id long, {SCHEMA}"))
+    return rows.select(F.col("id").alias(id_col), *NAMES)
