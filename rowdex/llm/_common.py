@@ -76,6 +76,14 @@ def named(name: str) -> Column:
     return F.col("`" + name.replace("`", "``") + "`")
 
 
+def unused(name: str, taken: list[str]) -> str:
+    """``name``, with underscores added until it is not among ``taken``."""
+    low = {t.lower() for t in taken}
+    while name.lower() in low:
+        name += "_"
+    return name
+
+
 def packed(df: DataFrame, name: str = "row") -> Column:
     """All columns of ``df`` as one struct: beside it an operator's own columns
     cannot clash with theirs."""
@@ -135,3 +143,14 @@ def rows_without(rows: DataFrame, gone: DataFrame, keys: list[str]) -> DataFrame
     stay = marked.filter(~F.col("__maybe")).drop("__maybe", "__h")
     met = marked.filter("__maybe").drop("__maybe", "__h").join(gone, keys, "left_anti")
     return stay.unionByName(met)
+
+
+def rows_once(rows: DataFrame, again: DataFrame, keys: list[str]) -> DataFrame:
+    """``rows`` with one row of those whose keys are in ``again``, a written table
+    of keys that several rows have. Other rows stay where they are."""
+    if not again.take(1):
+        return rows
+    mark = F.xxhash64(*keys)
+    marked = BitFilter.sized(again.select(mark.alias("h")), "h").mark(rows.withColumn("__h", mark), "__h").drop("__h")
+    once = marked.filter("__maybe").dropDuplicates(keys)
+    return marked.filter(~F.col("__maybe")).unionByName(once).drop("__maybe")

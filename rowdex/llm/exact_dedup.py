@@ -33,7 +33,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rowdex.llm._common import BitFilter, ascii_lower, named, packed, rows_without, staged, staging_path
+from rowdex.llm._common import BitFilter, ascii_lower, named, packed, rows_once, rows_without, staged, staging_path
 
 #: Entries of a run, and generations of runs that a flush makes.
 MEMTABLE, GENERATIONS = 1_000_000, 4
@@ -169,12 +169,7 @@ def drop_exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str
     gone = verdicts.filter(~F.col("kept")).select("id", "sha").distinct()
     left = rows_without(rows, staged(gone, "gone"), ["id", "sha"])
     again = staged(verdicts.filter("kept").groupBy("id", "sha").count().filter("count > 1").select("id", "sha"), "again")
-    if again.take(1):
-        mark = F.xxhash64("id", "sha")
-        marked = BitFilter.sized(again.select(mark.alias("h")), "h").mark(left.withColumn("h", mark), "h")
-        once = marked.filter("__maybe").dropDuplicates(["id", "sha"])
-        left = marked.filter(~F.col("__maybe")).unionByName(once)
-    return left.select("row.*")
+    return rows_once(left, again, ["id", "sha"]).select("row.*")
 
 
 def _id_text(ident):

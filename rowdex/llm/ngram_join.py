@@ -13,24 +13,32 @@ blocks, and each block only as far as the sizes of its rows require:
    the shared n-gram, room for the overlap that its sizes require. Then its
    sketches, a bit of parity for each class of hashes, must not differ in more
    places than the sets may. Only rows of pairs that pass are read in whole.
-3. Blocks of rows are multiplied on numpy arrays, column block by column block:
-   columns that many rows have as dense products, the others entry by entry.
-
-Documents with one and the same set are one row of the matrix. The pairs inside
-a group of near copies are not formed: first each column's rows meet one centre
-for each band of sizes, and the links found join rows into components. These
-rounds go on while they close many of the pairs that are open. Then every pair
-of rows that share a prefix column and lie in different components is tested, so
-no link between components is lost: as a row of a table where a column leaves
-few such pairs, and where it leaves many inside blocks, which hold bounded
-numbers of rows and n-grams and give back links only. In a block stand rows
-outside their group's main component against rows of the whole group.
+3. Blocks of rows are multiplied on numpy arrays: left rows, and the right rows
+   that are paired with one of them. All entries of a block accumulate overlap
+   counts at once, and pairs below the bound of their sizes are discarded. Blocks
+   hold bounded numbers of rows and n-grams; a left row with very many right rows
+   is in several.
+
+Documents with one and the same set are one row of the matrix, named by a number
+that is given once to each set, not by an id. The pairs inside a group of near
+copies are not formed: first each column's rows meet one centre for each band of
+sizes, and the links found join rows into components. These rounds go on while
+they close many of the pairs that are open. Then every pair of rows that share a
+prefix column and lie in different components is tested, so no link between
+components is lost: as a pair of rows where a column leaves few such pairs, and
+where it leaves many inside blocks of a group, which give back links only. In
+such a block stand rows outside their group's main component against rows of the
+whole group.
 
 Links are exact but for equal 64-bit hashes of different n-grams. Defined
 results: a text with fewer words than ``n`` is one n-gram; without words (or
-null) it has none and links with nothing; rows that share an id are one
-document, which links as either text does; a row without an id takes the
-component of the same set elsewhere, else null; other columns are ignored.
+null) it has none and links with nothing; a long text is read in segments and
+has one set like others; rows that share an id are one document, which links as
+each of its texts does, and all of them have its component; rows without an id
+are documents of their own, and their component is the smallest id that links
+reach, null if they reach none; ties do not occur, as each pair either links or
+not; an empty table gives no rows; other columns are ignored, whatever their
+names, and kept as they are by ``drop_similar_documents``.
 """
 
 from __future__ import annotations
@@ -44,8 +52,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rowdex.llm._common import BitFilter, staged
-from rowdex.llm._hashing import down, mix, up
+from rowdex.llm._common import BitFilter, named, packed, rows_once, rows_without, staged
+from rowdex.llm._hashing import BASE, SEGMENT, UP, down, mix
 from rowdex.llm.components import components
 from rowdex.llm.token_count import in_pieces
 
@@ -60,32 +68,53 @@ OPEN_PAIRS, MOST_ROUNDS = 0.5, 12
 #: A column with more open pairs is left to blocks; rows and n-grams of a block's two sides.
 WIDE_PAIRS = 200
 LEFT_ROWS, RIGHT_ROWS, LEFT_GRAMS, RIGHT_GRAMS = 1024, 4096, 200_000, 800_000
+#: Right rows and n-grams that one left row meets in a block of pairs.
+PAIR_ROWS, PAIR_GRAMS = 1024, 800_000
 
 SMALL = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 IS_SPACE = np.array([b in (9, 10, 11, 12, 13, 32) for b in range(256)])
 
 
+def word_hashes(raw: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Hash and first byte of each word of some bytes, a segment at a time. raw
+    ends with a space."""
+    words, starts = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
+    total, inside, open_at, open_sum = 0, False, 0, np.uint64(0)
+    for start in range(0, len(raw), SEGMENT):
+        own = raw[start : start + SEGMENT]
+        held = ~IS_SPACE[own]
+        edge = np.flatnonzero(np.diff(np.r_[inside, held].astype(np.int8)))
+        far = np.uint64(pow(BASE, start, 1 << 64))
+        sums = np.r_[np.zeros(1, np.uint64), np.cumsum((own.astype(np.uint64) + np.uint64(1)) * UP[: len(own)], dtype=np.uint64)]
+        at, upto = edge + start, sums[edge] * far + np.uint64(total)
+        if inside:  # the word that the last segment left open
+            at, upto = np.r_[open_at, at], np.r_[open_sum, upto]
+        total = (total + int(sums[-1]) * int(far)) % (1 << 64)
+        inside = bool(held[-1])
+        if inside:
+            open_at, open_sum = at[-1], upto[-1]
+            at, upto = at[:-1], upto[:-1]
+        first = at[::2]
+        words.append(mix((upto[1::2] - upto[::2]) * down(first)))
+        starts.append(first)
+    return np.concatenate(words), np.concatenate(starts)
+
+
 def ngram_sets(texts: list[str], n: int = WORDS) -> list[np.ndarray]:
     """The distinct n-gram hashes of each text, in ascending order."""
     datas = [t.encode("utf-8", "surrogatepass").translate(SMALL) for t in texts]
-    joined = np.frombuffer(b"\n".join([*datas, b""]), np.uint8)
-    out = [np.zeros(0, np.uint64)] * len(texts)
-    if not len(joined):
-        return out
-    inside = ~IS_SPACE[joined]
-    edge = np.flatnonzero(np.diff(np.r_[False, inside, False].astype(np.int8)))
-    starts, ends = edge[::2], edge[1::2]
-    if not len(starts):
-        return out
-    running = np.r_[np.zeros(1, np.uint64), np.cumsum((joined.astype(np.uint64) + np.uint64(1)) * up(len(joined)), dtype=np.uint64)]
-    words = mix((running[ends] - running[starts]) * down(starts))
-    bounds = np.searchsorted(starts, np.cumsum([0, *(len(d) + 1 for d in datas)]))
+    bounds = np.cumsum([0, *(len(d) + 1 for d in datas)])
+    raw = np.frombuffer(b"\n".join([*datas, b""]), np.uint8)
+    del datas
+    words, starts = word_hashes(raw)
+    bounds = np.searchsorted(starts, bounds)
     grams = words[: max(0, len(words) - n + 1)].copy()
     for k in range(1, n):
         grams *= np.uint64(0x9E3779B97F4A7C15)
         grams += words[k : k + len(grams)]
         grams ^= grams >> np.uint64(32)
     grams = mix(grams)
+    out = [np.zeros(0, np.uint64)] * len(texts)
     for k, (a, b) in enumerate(zip(bounds[:-1], bounds[1:], strict=True)):
         if b - a >= n:
             out[k] = np.unique(grams[a : b - n + 1])
@@ -120,44 +149,47 @@ def set_name(grams: np.ndarray) -> bytes | None:
     return hashlib.blake2b(grams.tobytes(), digest_size=16).digest() if len(grams) else None
 
 
-def _sets(batches: Iterator[pa.RecordBatch], n: int) -> Iterator[tuple[int | None, np.ndarray]]:
+def _sets(batches: Iterator[pa.RecordBatch], n: int) -> Iterator[tuple[tuple, np.ndarray]]:
+    """The other columns of each row, and the set of its text, the last column."""
     for batch in batches:
         for start in range(0, batch.num_rows, 256):
             part = batch.slice(start, 256)
-            ids, texts = part.column(0).to_pylist(), [t or "" for t in part.column(1).to_pylist()]
-            at = 0
-            for some in in_pieces(texts, 1 << 20):
-                yield from zip(ids[at : at + len(some)], ngram_sets(some, n), strict=True)
+            *others, texts = (c.to_pylist() for c in part.columns)
+            rows, at = list(zip(*others, strict=True)), 0
+            for some in in_pieces([t or "" for t in texts], 1 << 20):
+                yield from zip(rows[at : at + len(some)], ngram_sets(some, n), strict=True)
                 at += len(some)
 
 
+def _batch(columns, schema: pa.Schema) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, schema, strict=True)], schema=schema)
+
+
 def _count_pass(n: int):
     """Rows of a partition: the name and size of each document's set, and blocks
     of the counts of n-grams by cell (sets that repeat inside a partition count once)."""
-    schema = pa.schema([("block", pa.int32()), ("counts", pa.binary()), ("id", pa.int64()), ("name", pa.binary()), ("n", pa.int64())])
+    schema = pa.schema([("block", pa.int32()), ("counts", pa.binary()), ("id", pa.int64()), ("k1", pa.int64()), ("k2", pa.int64()), ("name", pa.binary()), ("n", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cells, seen, held, counted = np.zeros(1 << CELL_BITS, np.uint16), set(), [], 0
 
         def flush() -> pa.RecordBatch:
-            ids, names, sizes = map(list, zip(*held, strict=True))
-            empty = [None] * len(ids)
-            columns = [empty, empty, ids, names, sizes]
-            return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, schema, strict=True)], schema=schema)
+            empty = [None] * len(held)
+            out = _batch([empty, empty, *zip(*held, strict=True)], schema)
+            held.clear()
+            return out
 
         def blocks() -> Iterator[pa.RecordBatch]:
             size = 1 << BLOCK_BITS
             for start in range(0, len(cells) // size, 64):
                 some = [k for k in range(start, start + 64) if cells[k * size : (k + 1) * size].any()]
-                packed = [zlib.compress(cells[k * size : (k + 1) * size].tobytes(), 1) for k in some]
-                empty = [None] * len(some)
-                columns = [some, packed, empty, empty, empty]
-                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, schema, strict=True)], schema=schema)
+                packed_counts = [zlib.compress(cells[k * size : (k + 1) * size].tobytes(), 1) for k in some]
+                yield _batch([some, packed_counts, *[[None] * len(some)] * 5], schema)
             cells[:] = 0
 
-        for ident, grams in _sets(batches, n):
+        for (ident, k1, k2), grams in _sets(batches, n):
             name = set_name(grams)
-            held.append((ident, name, len(grams)))
+            held.append((ident, k1, k2, name, len(grams)))
             if name is not None and name not in seen:
                 seen.add(name)
                 np.add.at(cells, grams & np.uint64((1 << CELL_BITS) - 1), 1)
@@ -166,12 +198,11 @@ def _count_pass(n: int):
                     yield from blocks()
             if len(held) >= 5000:
                 yield flush()
-                held.clear()
         if held:
             yield flush()
         yield from blocks()
 
-    return run, "block int, counts binary, id long, name binary, n long"
+    return run, "block int, counts binary, id long, k1 long, k2 long, name binary, n long"
 
 
 def _sum_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -198,41 +229,29 @@ def prefix_length(size: int, percent: int = PERCENT) -> int:
     return size - -(-percent * size // 100) + 1
 
 
-def _prefix_pass(n: int, percent: int, sent):
-    """(gram, id, size, place) of the prefix of each set that a partition holds, once."""
-    names = ["gram", "id", "size", "place"]
-    kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int32()]
+def _set_pass(n: int, percent: int, sent):
+    """Each set that a partition holds, once: its name, a row that has it, size,
+    sketch, and the n-grams of its prefix in their order."""
+    schema = pa.schema([("name", pa.binary()), ("k1", pa.int64()), ("k2", pa.int64()), ("size", pa.int32()), ("sketch", pa.binary()), ("prefix", pa.list_(pa.int64()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ranks, seen = sent.value, set()
-        held: list[tuple[np.ndarray, int, int]] = []
-        rows = 0
-
-        def flush() -> pa.RecordBatch:
-            count = [len(g) for g, _, _ in held]
-            columns = [
-                np.concatenate([g for g, _, _ in held]).view(np.int64),
-                np.repeat([i for _, i, _ in held], count),
-                np.repeat([s for _, _, s in held], count),
-                np.concatenate([np.arange(c) for c in count]),
-            ]
-            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names)
-
-        for ident, grams in _sets(batches, n):
+        ranks, seen, held, rows = sent.value, set(), [], 0
+        for (_, k1, k2), grams in _sets(batches, n):
             name = set_name(grams)
-            if name is None or ident is None or name in seen:
+            if name is None or name in seen:
                 continue
             seen.add(name)
             order = np.argsort(ranks[grams & np.uint64((1 << CELL_BITS) - 1)], kind="stable")
-            held.append((grams[order[: prefix_length(len(grams), percent)]], ident, len(grams)))
-            rows += len(held[-1][0])
+            first = grams[order[: prefix_length(len(grams), percent)]].view(np.int64)
+            held.append((name, k1, k2, len(grams), sketch(grams), first))
+            rows += len(first)
             if rows >= 100_000:
-                yield flush()
+                yield _batch(zip(*held, strict=True), schema)
                 held, rows = [], 0
         if held:
-            yield flush()
+            yield _batch(zip(*held, strict=True), schema)
 
-    return run, "gram long, id long, size int, place int"
+    return run, "name binary, k1 long, k2 long, size int, sketch binary, prefix array<long>"
 
 
 def needed(left: str, right: str, percent: int):
@@ -248,7 +267,7 @@ def _within(percent: int):
 
 
 def _near(percent: int):
-    """Pairs (a, b) whose sketches and sizes leave room for a link."""
+    """Pairs (a, b) whose sketches and sizes leave room for a link, with the size of b."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -256,7 +275,8 @@ def _near(percent: int):
             apart = [sketch_distance(x, y) for x, y in zip(batch.column(4).to_pylist(), batch.column(5).to_pylist(), strict=True)]
             both = size + size2
             keep = np.array(apart, np.int64) <= both - 2 * -(-percent * both // (100 + percent))
-            yield pa.RecordBatch.from_arrays([pa.array(a[keep], pa.int64()), pa.array(b[keep], pa.int64())], ["a", "b"])
+            columns = [pa.array(a[keep], pa.int64()), pa.array(b[keep], pa.int64()), pa.array(size2[keep], pa.int32())]
+            yield pa.RecordBatch.from_arrays(columns, ["a", "b", "size"])
 
     return run
 
@@ -310,24 +330,57 @@ def _sets_of(column: pa.Array) -> list[np.ndarray]:
     return [np.frombuffer(x.as_py(), np.uint64) for x in column]
 
 
+def own_overlaps(left: list[np.ndarray], right: list[np.ndarray], owner: np.ndarray) -> np.ndarray:
+    """The product's entries at (owner of each right row, right row): how many
+    n-grams each right row shares with its left row."""
+    if not len(right):
+        return np.zeros(0, np.int64)
+    mark = np.uint64(0xD6E8FEB86659FD93)
+    keys = np.concatenate(left) ^ (np.repeat(np.arange(len(left)), [len(x) for x in left]).astype(np.uint64) * mark)
+    keys.sort()
+    sizes = [len(x) for x in right]
+    row = np.repeat(np.arange(len(right)), sizes)
+    asked = np.concatenate(right) ^ (owner[row].astype(np.uint64) * mark)
+    at = np.minimum(np.searchsorted(keys, asked), len(keys) - 1)
+    return np.bincount(row[keys[at] == asked], minlength=len(right))
+
+
 def _multiply(percent: int):
-    """Links among pairs (a, b) that come with their sets, sorted by a: a block
-    is a run of rows with one centre a."""
+    """Links among pairs. Rows come sorted by left row a and part: first the set
+    of a, then those of the right rows b of that part."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        left: list[np.ndarray] = []
+        names: list[int] = []
+        right: list[np.ndarray] = []
+        pairs: list[tuple[int, int]] = []  # place in left, b
+        held = 0
+
+        def block() -> pa.RecordBatch:
+            owner = np.array([p for p, _ in pairs], np.int64)
+            both = np.array([len(x) for x in left])[owner] + np.array([len(x) for x in right])
+            overlap = own_overlaps(left, right, owner)
+            keep = np.flatnonzero(100 * overlap >= percent * (both - overlap))
+            a, b = [names[pairs[k][0]] for k in keep], [pairs[k][1] for k in keep]
+            return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
+
         for batch in batches:
-            a, b = batch.column(0).to_numpy(), batch.column(1).to_numpy()
-            keep = []
-            starts = np.flatnonzero(np.r_[True, a[1:] != a[:-1]]) if len(a) else a
-            for start, end in zip(starts, [*starts[1:], len(a)], strict=True):
-                for at in range(start, end, 256):
-                    right = _sets_of(batch.column(3).slice(at, min(256, end - at)))
-                    left = _sets_of(batch.column(2).slice(start, 1))
-                    sizes = np.array([len(x) for x in right])
-                    found = linked(product(left, right), np.array([len(left[0])]), sizes, percent)
-                    keep.append(at + np.flatnonzero(found[0]))
-            keep = np.concatenate(keep) if keep else np.zeros(0, int)
-            yield pa.RecordBatch.from_arrays([pa.array(a[keep], pa.int64()), pa.array(b[keep], pa.int64())], ["a", "b"])
+            for start in range(0, batch.num_rows, 256):
+                part = batch.slice(start, 256)
+                for a, b, grams in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), _sets_of(part.column(2)), strict=True):
+                    if b is None:
+                        left.append(grams)
+                        names.append(a)
+                    else:
+                        right.append(grams)
+                        pairs.append((len(left) - 1, b))
+                    held += len(grams)
+                    if held >= RIGHT_GRAMS and pairs:
+                        yield block()
+                        # the last left row goes on with the next block
+                        left, names, right, pairs, held = left[-1:], names[-1:], [], [], len(left[-1])
+        if pairs:
+            yield block()
 
     return run
 
@@ -358,71 +411,70 @@ def _block(percent: int):
 
 
 class Join:
-    """The state of one join; ``links`` and ``components`` are its results."""
+    """The state of one join; ``run`` gives its components."""
 
     def __init__(self, docs: DataFrame, id_col: str, text_col: str, n: int = WORDS, percent: int = PERCENT, seed: int = 23):
-        self.rows = docs.select(F.col(id_col).cast("long").alias("id"), docs[text_col].cast("string").alias("text"))
         self.n, self.percent, self.seed = n, percent, seed
+        self.rows = docs.select(*row_keys(id_col, text_col), named(text_col).cast("string").alias("text"))
         spark = docs.sparkSession
         counted = staged(self.rows.mapInArrow(*_count_pass(n)), "counts", TEXT_ROWS)
-        self.documents = counted.filter("block is null").select("id", "name", "n")
+        self.documents = counted.filter("block is null").select("id", "k1", "k2", "name", "n")
         ranks = np.zeros(1 << CELL_BITS, np.uint8)
         blocks = counted.filter("block is not null").select("block", "counts").repartition(32, "block").sortWithinPartitions("block")
         for r in blocks.mapInArrow(_sum_blocks, "block int, ranks binary").collect():  # 16 MB in all, whatever the input
             ranks[r["block"] << BLOCK_BITS : (r["block"] + 1) << BLOCK_BITS] = np.frombuffer(r["ranks"], np.uint8)
         sent = spark.sparkContext.broadcast(ranks)
-        entries = staged(self.rows.mapInArrow(*_prefix_pass(n, percent, sent)), "prefixes", TEXT_ROWS)
+        made = self.rows.mapInArrow(*_set_pass(n, percent, sent)).dropDuplicates(["name"])
+        # written once, so a set keeps its number
+        self.sets = staged(made.withColumn("rep", F.monotonically_increasing_id()), "sets", TEXT_ROWS)
 
-        # a set's document is the smallest id that has it
-        self.classes = staged(self.documents.filter("name is not null and id is not null").groupBy("name").agg(F.min("id").alias("rep")), "sets")
+        entries = self.sets.select("rep", "size", F.posexplode("prefix").alias("place", "gram"))
         shared = entries.groupBy("gram").agg(F.count(F.lit(1)).alias("c")).filter("c > 1").select("gram")
         shared = staged(shared, "shared-columns")
-        entries = BitFilter(shared, "gram", 24).keep(entries, "gram").join(shared, "gram", "left_semi")
-        owner = self.documents.join(self.classes, "name").select("id", "rep").distinct()
-        entries = entries.join(owner, "id").groupBy("gram", "rep").agg(F.min("size").alias("size"), F.min("place").alias("place"))
-        self.entries = self._shared(staged(entries, "columns"))
-        self.sketches = self._read(
-            self.entries.select(F.col("rep").alias("id")).distinct(),
-            lambda g: (len(g), sketch(g)), [("size", pa.int64()), ("sketch", pa.binary())], "id long, size long, sketch binary", exact=False,
-        )
-
-    def _shared(self, entries: DataFrame) -> DataFrame:
-        """Entries of columns that at least two rows of the matrix have."""
-        several = entries.groupBy("gram").agg(F.count(F.lit(1)).alias("c")).filter("c > 1").select("gram")
-        return staged(entries.join(several, "gram", "left_semi"), "entries")
-
-    def _read(self, ids: DataFrame, value, fields: list, schema: str, exact: bool = True) -> DataFrame:
-        """What ``value`` makes of the sets of documents ``ids``. Texts of others
-        are left out before any shuffle, but for what the filter lets through;
-        where a few rows more do no harm, there is no shuffle of texts at all."""
-        wanted = staged(ids, "rows")
-        n, kinds = self.n, pa.schema([("id", pa.int64()), *fields])
+        self.entries = staged(BitFilter(shared, "gram", 24).keep(entries, "gram").join(shared, "gram", "left_semi"), "entries")
+        candidates = self.entries.select("rep").distinct()
+        self.sketches = staged(self.sets.select("rep", "size", "sketch").join(candidates, "rep", "left_semi"), "sketches")
+
+    def repeated(self) -> DataFrame:
+        """Ids whose rows have different sets (or some none)."""
+        mark = F.xxhash64("name")
+        ids = self.documents.filter("id is not null").groupBy("id").agg(F.min(mark).alias("lo"), F.max(mark).alias("hi"))
+        return staged(ids.filter("lo <> hi").select("id"), "repeated")
+
+    def read(self, reps: DataFrame) -> DataFrame:
+        """rep and grams (the whole set, as bytes) of some sets. Of each set one
+        row's text is read; texts of others are left out before any shuffle, but
+        for what the filter lets through, and copies of a row are combined."""
+        wanted = staged(reps.join(self.sets.select("rep", "k1", "k2", "name"), "rep"), "wanted")
+        n = self.n
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                found = [(i, *value(g)) for i, g in _sets([batch], n)]
-                columns = list(zip(*found, strict=True)) or [[]] * len(kinds)
-                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, kinds, strict=True)], schema=kinds)
-
-        slots = BitFilter(wanted.select(F.xxhash64("id").alias("h")), "h", 24)
-        rows = slots.keep(self.rows.withColumn("h", F.xxhash64("id")), "h").select("id", "text")
-        rows = rows.join(wanted, "id", "left_semi") if exact else rows
-        return staged(rows.mapInArrow(run, schema), "row-sets", TEXT_ROWS)
+                found = [(rep, g.tobytes()) for (rep, name), g in _sets([batch], n) if set_name(g) == name]
+                reps, grams = zip(*found, strict=True) if found else ([], [])
+                yield pa.RecordBatch.from_arrays([pa.array(reps, pa.int64()), pa.array(grams, pa.binary())], ["rep", "grams"])
 
-    def sets(self, ids: DataFrame) -> DataFrame:
-        """id and grams (the whole set, as bytes)."""
-        return self._read(ids, lambda g: (g.tobytes(),), [("grams", pa.binary())], "id long, grams binary")
+        slots = BitFilter(wanted, "k1", 24)
+        rows = slots.keep(self.rows.select("k1", "k2", "text"), "k1").dropDuplicates(["k1", "k2"])
+        rows = rows.join(wanted, ["k1", "k2"]).select("rep", "name", "text")
+        return staged(rows.mapInArrow(run, "rep long, grams binary"), "row-sets", TEXT_ROWS)
 
     def test(self, pairs: DataFrame) -> DataFrame:
         """The pairs (a, b) that link."""
-        left = self.sketches.select(F.col("id").alias("a"), "size", F.col("sketch").alias("s"))
-        right = self.sketches.select(F.col("id").alias("b"), F.col("size").alias("size2"), F.col("sketch").alias("s2"))
+        left = self.sketches.select(F.col("rep").alias("a"), "size", F.col("sketch").alias("s"))
+        right = self.sketches.select(F.col("rep").alias("b"), F.col("size").alias("size2"), F.col("sketch").alias("s2"))
         near = pairs.join(left, "a").join(right, "b").select("a", "b", "size", "size2", "s", "s2")
-        near = staged(near.mapInArrow(_near(self.percent), "a long, b long"), "near")
-        sets = self.sets(near.select(F.col("a").alias("id")).unionByName(near.select(F.col("b").alias("id"))).distinct())
-        rows = near.join(sets.select(F.col("id").alias("b"), F.col("grams").alias("right")), "b")
-        rows = rows.join(sets.select(F.col("id").alias("a"), F.col("grams").alias("left")), "a")
-        return rows.select("a", "b", "left", "right").mapInArrow(_multiply(self.percent), "a long, b long")
+        near = staged(near.mapInArrow(_near(self.percent), "a long, b long, size int"), "near")
+        sets = self.read(near.select(F.col("a").alias("rep")).unionByName(near.select(F.col("b").alias("rep"))).distinct())
+        # a left row with many right rows is taken in parts of bounded size
+        size = near.groupBy("a").agg(F.count(F.lit(1)).alias("c"), F.sum("size").alias("g"))
+        parts = F.greatest(F.lit(1), F.ceil(F.col("c") / PAIR_ROWS), F.ceil(F.col("g") / PAIR_GRAMS)).cast("int")
+        size = staged(size.select("a", parts.alias("parts")), "pair-parts")
+        own = F.pmod(F.xxhash64(F.lit(self.seed), "b"), F.col("parts")).cast("int").alias("part")
+        rights = near.join(size, "a").select("a", "b", own).join(sets.withColumnRenamed("rep", "b"), "b").select("a", "b", "grams", "part")
+        lefts = size.join(sets.withColumnRenamed("rep", "a"), "a").select("a", F.lit(None).cast("long").alias("b"), "grams", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
+        held = rights.unionByName(lefts).repartition("a", "part").sortWithinPartitions("a", "part", F.asc_nulls_first("b"))
+        return held.select("a", "b", "grams").mapInArrow(_multiply(self.percent), "a long, b long")
 
     def centred(self, labelled: DataFrame, turn: int) -> DataFrame:
         """Pairs of each column's rows with a centre, one for each band of sizes."""
@@ -434,7 +486,8 @@ class Join:
             F.min(F.struct("key", F.col("rep").alias("rep2"), F.col("component").alias("component2"), F.col("size").alias("size2"), F.col("place").alias("place2"))).alias("m"),
             F.count(F.lit(1)).alias("c"),
         )
-        centre = centre.filter("c > 1").select("gram", "band", "m.rep2", "m.component2", "m.size2", "m.place2")
+        # written, so that a column with very many rows can be split where it is joined
+        centre = staged(centre.filter("c > 1").select("gram", "band", "m.rep2", "m.component2", "m.size2", "m.place2"), "centres")
         met = rows.join(centre, ["gram", "band"]).filter((F.col("component") != F.col("component2")) & _within(self.percent))
         return met.select(F.col("rep2").alias("a"), F.col("rep").alias("b")).distinct()
 
@@ -476,7 +529,7 @@ class Join:
         upto = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
         left = rows.filter("component <> main").select("team", "rep", "component", F.lit(0).alias("side"), F.pmod("h", F.col("lefts")).cast("int").alias("i"), upto("rights").alias("j"))
         right = rows.select("team", "rep", "component", F.lit(1).alias("side"), upto("lefts").alias("i"), F.pmod("h", F.col("rights")).cast("int").alias("j"))
-        sets = self.sets(rows.select(F.col("rep").alias("id"))).withColumnRenamed("id", "rep")
+        sets = self.read(rows.select("rep"))
         held = left.unionByName(right).join(sets, "rep")
         return held.groupBy("team", "i", "j").applyInArrow(_block(self.percent), "a long, b long")
 
@@ -493,16 +546,21 @@ class Join:
         labelled = staged(rows.join(open_columns.select("gram", "across"), "gram"), "labelled")
         return labelled, int(sums[0] or 0), int(sums[1] or 0)
 
-    def run(self) -> DataFrame:
-        """v and component, of the rows that link with another."""
-        found, links, before = None, None, None
+    def same_ids(self, repeated: DataFrame) -> DataFrame:
+        """Links between the sets of one id."""
+        rows = self.documents.filter("name is not null").select("id", "name").join(repeated, "id").join(self.sets.select("name", "rep"), "name")
+        rows = staged(rows.select("id", "rep").distinct(), "same-ids")
+        return rows.join(rows.groupBy("id").agg(F.min("rep").alias("a")), "id").select("a", F.col("rep").alias("b"))
+
+    def run(self, links: DataFrame | None = None) -> DataFrame | None:
+        """v and component, of the sets that link with another. links: known ones."""
+        found, before = None if links is None else components(links), None
         for turn in range(MOST_ROUNDS):
             labelled, held, across = self.label(found)
             if not held:
                 break
             if across <= OPEN_PAIRS * held or (before is not None and across > 0.8 * before):
-                links = self._more(links, self.crossing(labelled))
-                found = components(links)
+                found = components(self._more(links, self.crossing(labelled)))
                 break
             links = self._more(links, self.test(self.centred(labelled, turn)))
             found, before = components(links), across
@@ -516,21 +574,53 @@ class Join:
         new = staged(new, "found", TEXT_ROWS)  # its rows carry whole sets
         return new if links is None else links.unionByName(new)
 
+    def result(self) -> DataFrame:
+        """Of each row id, k1, k2, n, component (a number, null without a set) and
+        component_id (the smallest id in it)."""
+        repeated = self.repeated()
+        several = bool(repeated.take(1))
+        found = self.run(self.same_ids(repeated) if several else None)
+        names = self.sets.select("name", "rep")
+        if found is not None:
+            names = names.join(found.withColumnRenamed("v", "rep"), "rep", "left").select("name", F.coalesce("component", "rep").alias("component"))
+        else:
+            names = names.withColumnRenamed("rep", "component")
+        low = self.documents.filter("name is not null").groupBy("name").agg(F.min("id").alias("low"))
+        names = staged(names.join(low, "name"), "names")
+        lowest = names.groupBy("component").agg(F.min("low").alias("component_id"))
+        names = names.select("name", "component").join(lowest, "component")
+        rows = self.documents.join(names, "name", "left").select("id", "k1", "k2", "n", "component", "component_id")
+        if several:  # rows without a set go with their id's others
+            rows = staged(rows, "rows")
+            own = rows.join(repeated, "id").groupBy("id").agg(F.min("component").alias("c"), F.min("component_id").alias("i"))
+            rows = rows.join(own, "id", "left").select("id", "k1", "k2", "n", F.coalesce("component", "c").alias("component"), F.coalesce("component_id", "i").alias("component_id"))
+        return rows.withColumn("component_id", F.coalesce("component_id", "id"))
+
+
+def row_keys(id_col: str, text_col: str) -> list:
+    """The id, and two hashes that name a row by its id and text."""
+    ident, text = named(id_col).cast("long"), F.coalesce(named(text_col).cast("string"), F.lit(""))
+    return [ident.alias("id"), F.xxhash64(ident, text).alias("k1"), F.crc32(text.cast("binary")).alias("k2")]
+
 
 def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = WORDS, percent: int = PERCENT) -> DataFrame:
     """One row for each row of ``docs``: id, n_shingles, component_id (the
     smallest id that links reach, itself included)."""
-    join = Join(docs, id_col, text_col, n, percent)
-    found = join.run()
-    classes = join.classes
-    if found is not None:
-        classes = classes.join(found.withColumnRenamed("v", "rep"), "rep", "left").withColumn("rep", F.coalesce("component", "rep"))
-    rows = join.documents.join(classes.select("name", "rep"), "name", "left")
-    return rows.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("rep", "id").alias("component_id"))
+    rows = Join(docs, id_col, text_col, n, percent).result()
+    return rows.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), "component_id")
 
 
 def drop_similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = WORDS, percent: int = PERCENT) -> DataFrame:
-    """The rows of ``docs`` that stay, one document of each component: the one
-    with the smallest id. Rows without an id stay."""
-    found = similar_documents(docs, id_col, text_col, n, percent).filter(F.col("component_id") != F.col(id_col))
-    return docs.join(found.select(F.col(id_col).alias("__gone")).distinct(), docs[id_col] == F.col("__gone"), "left_anti")
+    """The rows of ``docs`` that stay, one of each component: a row of the smallest
+    id (any row where none has an id), of several the one with the smallest hash.
+    Rows without a word stay, unless their id has a row with words."""
+    found = staged(Join(docs, id_col, text_col, n, percent).result(), "similar")
+    grouped = found.filter("component is not null")
+    lowest = grouped.filter("component_id <=> id").groupBy("component").agg(F.min("k1").alias("best"))
+    verdicts = grouped.join(lowest, "component").withColumn("stays", F.col("component_id").eqNullSafe(F.col("id")) & (F.col("k1") == F.col("best")))
+    verdicts = staged(verdicts.select("k1", "k2", "stays"), "verdicts")
+    keys = ["k1", "k2"]
+    gone = staged(verdicts.filter("not stays").select(*keys).distinct(), "gone")
+    again = staged(verdicts.filter("stays").groupBy(*keys).count().filter("count > 1").select(*keys), "again")
+    rows = docs.select(*row_keys(id_col, text_col)[1:], packed(docs))
+    return rows_once(rows_without(rows, gone, keys), again, keys).select("row.*")
