@@ -40,7 +40,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
-from rowdex.llm._common import staged
+from rowdex.llm._common import staged, unused
 from rowdex.llm.token_count import in_pieces, rows_at_a_time
 
 ORDERS, BUCKET_BITS, PER_LANGUAGE, MOST_LANGUAGES = (1, 2, 3), 16, 1000, 400
@@ -223,8 +223,8 @@ def identify(docs: DataFrame, model: Model, columns: list[Column], text_col: str
     """``columns`` of each row, then lang_pred and score of its text."""
     sent = docs.sparkSession.sparkContext.broadcast(model)
     kept = docs.select(*columns).schema.fields
-    rows = docs.select(*columns, docs[text_col].cast("string").alias("__text"))
     names = [f.name for f in kept]
+    rows = docs.select(*columns, docs[text_col].cast("string").alias(unused("text", names)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in rows_at_a_time(batches):

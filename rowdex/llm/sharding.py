@@ -37,7 +37,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window
 from pyspark.sql.types import IntegerType, LongType, StructField, StructType
 
-from rowdex.llm._common import BitFilter, named, staging_path
+from rowdex.llm._common import BitFilter, named, staging_path, unused
 
 
 def rendezvous(ident: Column, shards: int, seed: int) -> Column:
@@ -49,12 +49,7 @@ def rendezvous(ident: Column, shards: int, seed: int) -> Column:
 
 def layout_names(columns: list[str]) -> tuple[str, str]:
     """Names of the shard's folder and of the slot beside these columns."""
-    taken, out = {c.lower() for c in columns}, []
-    for name in ("shard", "__slot"):
-        while name in taken:
-            name += "_"
-        out.append(name)
-    return out[0], out[1]
+    return unused("shard", columns), unused("__slot", columns)
 
 
 def shuffled_cells(docs: DataFrame, id_col: str, text_col: str, shards: int, seed: int, cell_bytes: int) -> DataFrame:
