@@ -3,8 +3,15 @@
 Each stage takes all rows that the one before it kept, and its decisions hold:
 toxic documents go, one of equal texts stays, one of near copies stays, sources
 are cut towards their target weights as far as 95 % of the tokens, each document
-at most once, let them (README gives the shares reached), and what is left is encoded. All stages but the
-last return whole rows with the columns of ``documents``.
+at most once, let them (README gives the shares reached), and what is left is
+encoded. All stages but the last return whole rows with the columns of
+``documents``, and those beside them, whatever their names.
+
+Defined results, of each stage as of its operator: a null text is an empty one;
+long texts are read whole; of equal texts the row with the largest id stays,
+of rows equal in id and text one; rows without an id are documents of their own;
+of near copies one row stays, of the smallest id; the mixture takes rows one by
+one, whether or not others have the same id; an empty table gives empty ones.
 """
 
 from __future__ import annotations
@@ -15,7 +22,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rowdex.llm import bpe, exact_dedup, mixing, ngram_join, toxicity
-from rowdex.llm._common import id_crc, read_table, staged
+from rowdex.llm._common import id_crc, packed, read_table, staged
 from rowdex.llm.queries import MIX_SEED, MIX_WEIGHTS, pretoken_pattern, source_domain, vocabulary
 
 #: Part of the tokens that the mixture takes; each document at most once.
@@ -25,8 +32,8 @@ MIX_BUDGET = 0.95
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     labels = read_table(spark, sf_dir, "labels", "doc_id", "toxic").filter(id_crc(F.col("doc_id")) % 5 != 0)
     model = toxicity.train(docs, labels, "text", "doc_id", F.col("toxic"))
-    scored = toxicity.score(docs, model, [F.col(f"`{c}`") for c in docs.columns], name="__toxic")
-    return scored.filter(F.col("__toxic") < 0.5).drop("__toxic")
+    scored = toxicity.score(docs, model, [packed(docs)])
+    return scored.filter("score < 0.5").select("row.*")
 
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
