@@ -66,10 +66,12 @@ CELL_SETS, TEXT_ROWS = 16_384, 1000
 #: Rounds with centres end when open pairs are fewer than this many for each prefix entry.
 OPEN_PAIRS, MOST_ROUNDS = 0.5, 12
 #: A column with more open pairs is left to blocks; rows and n-grams of a block's two sides.
-WIDE_PAIRS = 200
+#: Right rows are as many as the group has left rows, but SQUARE_ROWS at least, so that
+#: copies of left rows do not outnumber the group and a block of few left rows is small.
+WIDE_PAIRS, SQUARE_ROWS = 200, 256
 LEFT_ROWS, RIGHT_ROWS, LEFT_GRAMS, RIGHT_GRAMS = 1024, 4096, 200_000, 800_000
 #: Right rows and n-grams that one left row meets in a block of pairs.
-PAIR_ROWS, PAIR_GRAMS = 1024, 800_000
+PAIR_ROWS, PAIR_GRAMS = 256, 800_000
 
 SMALL = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 IS_SPACE = np.array([b in (9, 10, 11, 12, 13, 32) for b in range(256)])
@@ -517,11 +519,13 @@ class Join:
             F.sum("c").alias("c"), F.sum("g").alias("g"), F.max(F.struct("c", "component", "g")).alias("main")
         )
         cut = lambda c, g, most_c, most_g: F.greatest(F.lit(1), F.ceil(c / most_c), F.ceil(g / most_g)).cast("int")
+        left_rows = F.col("c") - F.col("main.c")
+        square = F.least(F.lit(RIGHT_ROWS), F.greatest(F.lit(min(SQUARE_ROWS, RIGHT_ROWS)), left_rows))
         sides = staged(
             sides.select(
                 "team", F.col("main.component").alias("main"),
-                cut(F.col("c") - F.col("main.c"), F.col("g") - F.col("main.g"), LEFT_ROWS, LEFT_GRAMS).alias("lefts"),
-                cut(F.col("c"), F.col("g"), RIGHT_ROWS, RIGHT_GRAMS).alias("rights"),
+                cut(left_rows, F.col("g") - F.col("main.g"), LEFT_ROWS, LEFT_GRAMS).alias("lefts"),
+                cut(F.col("c"), F.col("g"), square, RIGHT_GRAMS).alias("rights"),
             ),
             "sides",
         )
