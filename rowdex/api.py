@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import json
 import os
+import sys
+from collections.abc import Callable
 
 import pyarrow as pa
 import pyarrow.feather as feather
@@ -38,6 +40,10 @@ def _arrange(view: View, part: slice | None, shuffle: bool | None, seed: int | N
     return view
 
 
+def _shown(name: str) -> Callable[[int, int], None]:
+    return lambda done, total: print(f"{name}: {done} of {total} files", file=sys.stderr)
+
+
 def load_dataset(
     path: object = None, name: str | None = None, data_dir: str | None = None, data_files: object = None, split: str | None = None, *,
     spark: SparkSession | None = None, cache_dir: str | None = None, streaming: bool = False, save_to_disk: bool | str = False,
@@ -45,10 +51,15 @@ def load_dataset(
     max_cached_row_groups: int = 2, disk_cache: bool = False, shuffle: bool | None = None, seed: int | None = None, buffer_size: int | None = None, start_index: int = 0,
     from_index: int = 0, dataset_id: str | None = None, manage: bool = True, max_cached_files: int | None = None, max_cache_gb: float | None = None,
     num_shards: int | None = None, shard_id: int | None = None, world_size: int | None = None, rank: int | None = None,
-    contiguous_shards: bool = False, hub: Hub | None = None,
+    contiguous_shards: bool = False, hub: Hub | None = None, max_workers: int = 16, show_progress: bool = False, cache_files: bool | None = None,
 ) -> View | SplitDict:
     """A view of one split, or a dict of all. Only footers are read here.
 
+    Remote files: with ``streaming`` (or ``save_to_disk``) rows come by HTTP ranges
+    of the row groups and columns that are read, and no file is fetched whole; with
+    ``cache_files``, or a bound on cached files, each file comes whole when its rows
+    are read and leaves by that bound; else all come first, ``max_workers`` at a time.
+
     save_to_disk: a folder (or True for the default one) that becomes an archive
     as row groups are read; background_download fills it meanwhile.
     """
@@ -67,22 +78,23 @@ def load_dataset(
             continue
         held, urls = None, {}
         if any(map(is_remote, files)):
-            folder = os.path.join(cache_dir, "downloads" if not streaming else "file_cache", key)
-            if max_cached_files or max_cache_gb:
-                held = FileCache(folder, max_cached_files, max_gb=max_cache_gb, token=secret, keep=bool(target))
+            if cache_files or cache_files is None and (max_cached_files or max_cache_gb):
+                most = max_cached_files or (None if max_cache_gb else 4)
+                held = FileCache(os.path.join(cache_dir, "file_cache", key), most, max_gb=max_cache_gb, token=secret, keep=bool(target))
                 held.set_file_sequence(files)  # files come when their rows are read; footers by range requests
                 urls = {f: f for f in files}
-            else:
-                files = download_all(files, folder, secret)
+            elif not (streaming or target):
+                files = download_all(files, os.path.join(cache_dir, "downloads", key), secret, max_workers, _shown(key) if show_progress else None)
         index = build_index(files, key, spark, cache_dir, secret)
         unknown = [c for c in columns or [] if c not in index.schema.names]
         if unknown:
             raise ValueError(f"{unknown} not in dataset columns {index.schema.names}")
         view = View(spark, index, columns=columns, cache=TableCache(max_cached_row_groups))
         view.file_cache, view.urls, view.disk_cache = held, urls, DiskCache(cache_dir) if disk_cache else None
+        view.token = secret
         if target:
             base = target if wanted is not None else os.path.join(target, key)
-            view.archive = Archive(base, index, key, source=str(path or data_files), columns=columns)
+            view.archive = Archive(base, index, key, source=os.fspath(path) if isinstance(path, os.PathLike) else path or data_files, columns=columns, token=secret)
         view = _arrange(view, part, shuffle, seed, buffer_size, start_index or from_index, shards, own, contiguous_shards)
         if background_download:
             view.start_background_download(0)
@@ -144,6 +156,16 @@ def _saved_files(path: str, split: str | None, allow_incomplete: bool) -> dict[s
     return out
 
 
+def _incomplete(path: str, split: str | None) -> bool:
+    """Whether an archive below ``path`` lacks row groups of a split, or of any."""
+    for place, _, names in os.walk(path):
+        for name in names:
+            if name.endswith("_manifest.json") and split in (None, name[: -len("_manifest.json")]):
+                if not (read_manifest(place, name[: -len("_manifest.json")]) or {}).get("is_complete", True):
+                    return True
+    return False
+
+
 def _as_parquet(file: str, target: str) -> str:
     try:
         table = feather.read_table(file)
@@ -159,11 +181,17 @@ def load_from_disk(
     path: str | None = None, split: str | None = None, *, spark: SparkSession | None = None, columns: list[str] | None = None, allow_incomplete: bool = True,
     shuffle: bool | None = None, seed: int | None = None, buffer_size: int | None = None, start_index: int = 0, from_index: int = 0,
     dataset_id: str | None = None, manage: bool = True, num_shards: int | None = None, shard_id: int | None = None, world_size: int | None = None,
-    rank: int | None = None, contiguous_shards: bool = False,
+    rank: int | None = None, contiguous_shards: bool = False, token: str | bool | None = None, background_download: bool = True, resume: bool = False,
 ) -> View | SplitDict:
-    """What ``save_to_disk`` or an archive left; without a path, the newest."""
+    """What ``save_to_disk`` or an archive left; without a path, the newest.
+
+    resume: an archive that is not complete is opened as by ``resume_dataset``,
+    with ``token`` for its source and ``background_download``.
+    """
     path = path or _newest(default_dir("save"))
     wanted, _ = parse_split_slice(split)
+    if resume and _incomplete(path, wanted):
+        return resume_dataset(path, None, split, spark=spark, background_download=background_download, columns=columns, token=token, dataset_id=dataset_id, manage=manage, num_shards=num_shards if num_shards is not None else world_size, shard_id=shard_id if shard_id is not None else rank)
     found = _saved_files(path, None, allow_incomplete)
     if wanted is not None and wanted not in found:
         if len(found) > 1:

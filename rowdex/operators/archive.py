@@ -7,6 +7,7 @@ import json
 import os
 import threading
 from collections.abc import Iterator, Sequence
+from concurrent.futures import ThreadPoolExecutor
 
 import pyarrow as pa
 import pyarrow.feather as feather
@@ -15,6 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rowdex.errors import RowdexError
+from rowdex.sources.files import read_group
 from rowdex.sources.index import SplitIndex
 
 
@@ -31,12 +33,16 @@ def write_group(folder: str, file_index: int, rg_index: int, table: pa.Table) ->
 
 
 class Archive:
-    def __init__(self, target: str, index: SplitIndex | None, split: str, source: object = None, columns: Sequence[str] | None = None):
+    def __init__(
+        self, target: str, index: SplitIndex | None, split: str, source: object = None, columns: Sequence[str] | None = None, token: str | None = None, workers: int = 4
+    ):
+        self.token, self.workers, self.error = token, workers, None
         self.target, self.index, self.split, self.source = target, index, split, source
         self.folder = os.path.join(target, "row_groups", split)
         os.makedirs(self.folder, exist_ok=True)
         self.columns = list(columns) if columns is not None else None
         self._stop, self._thread, self._lock = threading.Event(), None, threading.Lock()
+        self._count = self._due = 0  # groups saved here, and at how many the manifest is written again
         for name in os.listdir(self.folder):
             if ".tmp" in name:
                 os.remove(os.path.join(self.folder, name))
@@ -70,10 +76,18 @@ class Archive:
         if self.get(file_index, rg_index, table.column_names) is not None:
             return False
         write_group(self.folder, file_index, rg_index, table)
-        self._write_manifest()
+        with self._lock:
+            self._count += 1
+            due = self._count >= self._due
+            if due:  # each time for some percent more, so that all writes stay in proportion
+                self._due = self._count + 1 + self._count // 20
+        if due:
+            self._write_manifest()
         return True
 
     def progress(self) -> float:
+        """The part that is saved; raises what ended a background thread."""
+        self._check()
         return len(self.saved()) / self.total if self.total > 0 else 1.0
 
     def is_complete(self) -> bool:
@@ -110,12 +124,12 @@ class Archive:
     def fill(self, spark: SparkSession, start: int = 0) -> int:
         """Saves what is missing as one job, a row group at a time on each core.
         The target must be a folder that all executors share."""
-        folder, columns = self.folder, self.columns
+        folder, columns, token = self.folder, self.columns, self.token
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 for row in batch.to_pylist():
-                    table = pq.ParquetFile(row["path"]).read_row_group(row["rg_index"], columns=columns)
+                    table = read_group(row["path"], row["rg_index"], columns, token)
                     write_group(folder, row["file_index"], row["rg_index"], table)
                 yield pa.RecordBatch.from_arrays([batch.column("rg_index")], ["rg_index"])
 
@@ -125,30 +139,48 @@ class Archive:
         return done
 
     def start(self, start: int = 0) -> Archive:
-        """Saves in the background, one row group after the other."""
+        """Saves in the background, some row groups at a time, from one on and
+        round to it. What fails is raised by ``join`` and ``progress``."""
         if self.is_alive():
             return self
         self._stop.clear()
+        self.error = None
+
+        def save(g) -> None:
+            if not self._stop.is_set() and not self.is_saved(g.file_index, g.rg_index):
+                self.save(g.file_index, g.rg_index, read_group(g.path, g.rg_index, self.columns, self.token))
 
         def run() -> None:
             groups = self.index.groups
-            for g in groups[start:] + groups[:start]:
-                if self._stop.is_set():
-                    return
-                if not self.is_saved(g.file_index, g.rg_index):
-                    self.save(g.file_index, g.rg_index, pq.ParquetFile(g.path).read_row_group(g.rg_index, columns=self.columns))
+            try:
+                with ThreadPoolExecutor(self.workers) as pool:
+                    for k in range(0, len(groups), 4 * self.workers):
+                        turn = [groups[(start + j) % len(groups)] for j in range(k, min(len(groups), k + 4 * self.workers))]
+                        list(pool.map(save, turn))
+                        if self._stop.is_set():
+                            break
+            except BaseException as e:
+                self.error = e
+            finally:
+                self._write_manifest()
 
         self._thread = threading.Thread(target=run, daemon=True)
         self._thread.start()
         return self
 
+    def _check(self) -> None:
+        if self.error is not None:
+            raise RowdexError(f"saving {self.split!r} to {self.target!r} failed: {self.error}") from self.error
+
     def stop(self) -> None:
         self._stop.set()
-        self.join()
+        if self._thread is not None:
+            self._thread.join()
 
     def join(self, timeout: float | None = None) -> None:
         if self._thread is not None:
             self._thread.join(timeout)
+        self._check()
 
     def is_alive(self) -> bool:
         return self._thread is not None and self._thread.is_alive()

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import multiprocessing
 import os
 import queue
 import statistics
@@ -11,17 +12,19 @@ import traceback
 import warnings
 from collections import deque
 from collections.abc import Callable, Iterable, Iterator, Sequence
-from concurrent.futures import ThreadPoolExecutor
+from concurrent.futures import ProcessPoolExecutor, ThreadPoolExecutor
 from concurrent.futures import TimeoutError as LateError
 from dataclasses import asdict, dataclass, field
 
 import numpy as np
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
 from rowdex.functions import order
 from rowdex.functions.collate import COLLATE, pin
+from rowdex.operators.cache import numbered
 from rowdex.plans.selection import check_shard
 from rowdex.plans.view import View, listed
 
@@ -170,11 +173,25 @@ def collected(batches: DataFrame, columns: Sequence[str]) -> DataFrame:
     return batches.groupBy("batch_id").agg(held.alias("rows"))
 
 
-def latency_report(profile: DataFrame, step: str, order_by: str, back: int = 4, factor: float = 5.0, least: float = 0.2) -> DataFrame:
-    """Steps slower than ``factor`` times the mean of the ``back`` before them."""
-    before = Window.orderBy(order_by).rowsBetween(-back, -1)
-    held = profile.withColumns({"recent": F.avg(step).over(before), "held": F.count(F.lit(1)).over(before)})
-    return held.withColumn("spike", (F.col("held") == back) & (F.col(step) > factor * F.col("recent")) & (F.col(step) > least)).drop("held")
+#: A step is slow that takes more than FACTOR times the mean of the BACK before it, and LEAST seconds.
+BACK, FACTOR, LEAST = 4, 5.0, 0.2
+
+
+def is_slow(spent: float, recent: float) -> bool:
+    return spent > LEAST and spent > FACTOR * recent
+
+
+def latency_report(profile: DataFrame, step: str, order_by: str, back: int = BACK, factor: float = FACTOR, least: float = LEAST, block: int = 4096) -> DataFrame:
+    """Steps slower than ``factor`` times the mean of the ``back`` before them. Steps
+    are numbered and dealt to blocks; the last ones of a block also go to the next."""
+    rows = numbered(profile, "__k", order_by).withColumn("__k", F.col("__k") - 1)
+    own = F.floor(F.col("__k") / block)
+    ends = F.when(F.col("__k") % block >= block - back, F.array(F.lit(False), F.lit(True))).otherwise(F.array(F.lit(False)))
+    rows = rows.select("*", F.explode(ends).alias("__copy")).withColumn("__block", own + F.col("__copy").cast("int"))
+    before = Window.partitionBy("__block").orderBy("__k").rowsBetween(-back, -1)
+    held = rows.withColumns({"recent": F.avg(step).over(before), "__held": F.count(F.lit(1)).over(before)}).filter(~F.col("__copy"))
+    held = held.withColumn("spike", (F.col("__held") == back) & (F.col(step) > factor * F.col("recent")) & (F.col(step) > least))
+    return held.drop("__held", "__k", "__copy", "__block")
 
 
 @dataclass
@@ -212,19 +229,94 @@ def safe_len(loader) -> int | None:
         return None
 
 
+def fetch(view, ordinals: list[int]):
+    """Rows of a batch, as a view gives them, or as a list."""
+    if isinstance(view, View):
+        if len(ordinals) == 1:
+            return [view[ordinals[0]]]
+        first = ordinals[0]
+        if ordinals == list(range(first, first + len(ordinals))):
+            return view[first : first + len(ordinals)]
+        return view[ordinals]
+    return [view[k] for k in ordinals]
+
+
+def made(dataset, collate: Callable, ordinals: list[int]) -> tuple:
+    """A batch, its rows, and the seconds to fetch and to collate them."""
+    began = time.perf_counter()
+    raw = fetch(dataset, ordinals)
+    fetched = time.perf_counter()
+    value = collate(raw)
+    return value, len(ordinals), fetched - began, time.perf_counter() - fetched
+
+
+#: What a worker process makes batches of.
+_WORK: dict[str, object] = {}
+
+
+def _begin_worker(packed: bytes) -> None:
+    """In a new process: the dataset, without a session, and the collation."""
+    _WORK["dataset"], _WORK["collate"] = cloudpickle.loads(packed)
+
+
+def _work(ordinals: list[int]) -> tuple:
+    return made(_WORK["dataset"], _WORK["collate"], ordinals)
+
+
+class GroupsAhead:
+    """Reads the row groups of the batches to come, at most half of what the
+    view's cache holds, while the consumer works on earlier ones."""
+
+    def __init__(self, view: View, batches: list[list[int]]):
+        self.view, self.batches, self.next = view, batches, 0
+        self.most = max(1, min(4, view.cache.max_entries // 2))
+        self.ends = np.array([g.end for g in view.index.groups])
+        self.due: deque[tuple[int, int]] = deque()  # row group, first batch that needs it
+        self.asked: list[int] = []
+        self.pool = ThreadPoolExecutor(min(2, self.most))
+
+    def advance(self, batch: int) -> None:
+        """The consumer is at ``batch``."""
+        while self.due and self.due[0][1] < batch:
+            self.due.popleft()
+        self.next = max(self.next, batch)
+        while self.next < len(self.batches) and len(self.due) < self.most:
+            if part := self.batches[self.next]:
+                group = int(np.searchsorted(self.ends, self.view.selection.position(part[0]), "right"))
+                if all(group != g for g, _ in self.due):
+                    self.due.append((group, self.next))
+                    self.asked.append(group)
+                    self.pool.submit(self._read, group)
+            self.next += 1
+
+    def _read(self, group: int) -> None:
+        try:
+            self.view._row_group(self.view.index.groups[group])
+        except Exception:  # the batch that needs it meets the error and raises it
+            pass
+
+    def close(self) -> None:
+        self.pool.shutdown(wait=False, cancel_futures=True)
+
+
 class BatchLoader:
     """Batches of a dataset, in the order of its sampler whatever runs in parallel.
 
     dataset: a view, any sequence, or an iterable without a length (its batches
-    are then dealt to shards by batch). num_workers: threads that fetch ahead.
+    are then dealt to shards by batch). num_workers: threads, or with
+    worker_type "process" processes, that fetch ahead; a process gets the dataset
+    pickled, and reads its row groups by itself.
     """
 
     def __init__(
         self, dataset, batch_size: int = 1, shuffle: bool = False, sampler=None, batch_sampler=None, num_workers: int | None = 0,
         collate_fn: Callable | str | None = None, drop_last: bool = False, timeout: float = 300.0, prefetch_factor: int = 2, pin_memory: bool = False,
         debug: bool = False, seed: int | None = None, num_shards: int | None = None, shard_id: int | None = None, world_size: int | None = None,
-        rank: int | None = None, contiguous_shards: bool = False,
+        rank: int | None = None, contiguous_shards: bool = False, worker_type: str = "thread",
     ):
+        if worker_type not in ("thread", "process"):
+            raise ValueError("worker_type is 'thread' or 'process'")
+        self.worker_type, self.ahead_groups = worker_type, None
         if num_workers is not None and num_workers < -1:
             raise ValueError("num_workers must be >= -1")
         if batch_sampler is not None and (sampler is not None or shuffle):
@@ -269,39 +361,50 @@ class BatchLoader:
         return len(self.batch_sampler)
 
     def set_epoch(self, epoch: int) -> None:
+        """A new epoch: its order, nothing consumed, and files fetched ahead in its order."""
         if hasattr(self.batch_sampler, "set_epoch"):
             self.batch_sampler.set_epoch(epoch)
+        if (view := view_of(self.dataset)) is not None:
+            view.reset_consumption()
+        self._announce_files()
+
+    def _announce_files(self) -> None:
+        view, sampler = view_of(self.dataset), getattr(self.batch_sampler, "sampler", None)
+        if view is not None and view.file_cache is not None:
+            order = sampler.file_order() if hasattr(sampler, "file_order") else []
+            view.set_file_order(order or range(view.n_files))
 
     def plan(self) -> DataFrame:
         """The epoch as one DataFrame: batch_id, ord, columns."""
-        view = view_of(self.dataset)
-        rows = [(b, k, int(o)) for b, part in enumerate(self.batch_sampler) for k, o in enumerate(part)]
-        ords = np.array([r[2] for r in rows], np.int64)
-        ids = listed(view.spark, np.array([r[0] for r in rows], np.int64)).withColumnRenamed("pos", "batch_id")
-        return view._with(selection=view.selection.pick(ords)).to_df().join(ids, "ord").select("batch_id", "ord", *view.columns)
+        view, batches = view_of(self.dataset), self.batch_sampler
+        if type(batches) is BatchSampler:  # batches of one size: their numbers follow from ord
+            sampler = None if type(batches.sampler) is SequentialSampler else batches.sampler
+            return batch_plan(view, sampler, batches.batch_size, batches.drop_last)
+        drawn = [np.asarray(part, np.int64) for part in batches]
+        number = np.repeat(np.arange(len(drawn)), [len(part) for part in drawn])
+        ids = listed(view.spark, number).withColumnRenamed("pos", "batch_id")
+        chosen = view.selection.pick(np.concatenate([np.zeros(0, np.int64), *drawn]))
+        return view._with(selection=chosen).to_df().join(ids, "ord").select("batch_id", "ord", *view.columns)
 
     def _fetch(self, ordinals: list[int]):
-        view = self.dataset
-        if isinstance(view, View):
-            if len(ordinals) == 1:
-                return [view[ordinals[0]]]
-            first = ordinals[0]
-            if ordinals == list(range(first, first + len(ordinals))):
-                return view[first : first + len(ordinals)]
-            return view[ordinals]
-        return [view[k] for k in ordinals]
+        return fetch(self.dataset, ordinals)
 
     def _make(self, ordinals: list[int]):
-        began = time.perf_counter()
-        raw = self._fetch(ordinals)
-        fetched = time.perf_counter()
-        value = self.collate(raw)
-        return (pin(value) if self.pin else value), len(ordinals), fetched - began, time.perf_counter() - fetched
+        value, *rest = made(self.dataset, self.collate, ordinals)
+        return (pin(value) if self.pin else value), *rest
+
+    def _workers(self):
+        if self.worker_type == "thread":
+            return ThreadPoolExecutor(self.workers), self._make
+        packed = cloudpickle.dumps((self.dataset, self.collate))
+        context = multiprocessing.get_context("spawn")  # a fork would share the session's sockets
+        return ProcessPoolExecutor(self.workers, context, _begin_worker, (packed,)), _work
 
     def __iter__(self):
         if self.closed:
             raise RuntimeError("Cannot iterate over a closed loader")
         self.records, self._warned = [], set()
+        self._announce_files()
         source = self._streamed() if self.batch_sampler is None else self._ordered()
         for k, (value, rows, wait, fetch, collate) in enumerate(source):
             record = BatchRecord(k, rows, wait, fetch, collate)
@@ -312,32 +415,39 @@ class BatchLoader:
             record.step_s = time.perf_counter() - began
 
     def _ordered(self):
-        tasks = iter(self.batch_sampler)
         if self.workers == 0:
-            for part in tasks:
-                value, rows, fetch, collate = self._make(part)
-                yield value, rows, 0.0, fetch, collate
+            for part in self.batch_sampler:
+                value, rows, fetched, collate = self._make(part)
+                yield value, rows, 0.0, fetched, collate
             return
-        pool = ThreadPoolExecutor(self.workers)
-        due = deque()
+        tasks = list(self.batch_sampler)
+        pool, make = self._workers()
+        view = self.dataset if isinstance(self.dataset, View) and self.worker_type == "thread" else None
+        self.ahead_groups = GroupsAhead(view, tasks) if view is not None and view.cache.max_entries >= 2 else None
+        due, sent = deque(), 0
         try:
-            for k in range(10**18):
-                while len(due) < self.workers * self.ahead and (part := next(tasks, None)) is not None:
-                    due.append(pool.submit(self._make, part))
-                if not due:
-                    return
+            for k in range(len(tasks)):
+                if self.ahead_groups is not None:
+                    self.ahead_groups.advance(k)
+                while sent < len(tasks) and len(due) < self.workers * self.ahead:
+                    due.append(pool.submit(make, tasks[sent]))
+                    sent += 1
                 began = time.perf_counter()
                 try:
-                    value, rows, fetch, collate = due.popleft().result(self.timeout)
+                    value, rows, fetched, collate = due.popleft().result(self.timeout)
                 except LateError:
                     raise TimeoutError(f"timed out waiting for batch {k} after {self.timeout} s") from None
                 except Exception as e:
                     raise RuntimeError(f"a worker failed on batch {k}: {e}\n{traceback.format_exc()}") from e
-                yield value, rows, time.perf_counter() - began, fetch, collate
+                if self.pin and self.worker_type == "process":
+                    value = pin(value)
+                yield value, rows, time.perf_counter() - began, fetched, collate
         finally:
             for task in due:
                 task.cancel()
             pool.shutdown(wait=False, cancel_futures=True)
+            if self.ahead_groups is not None:
+                self.ahead_groups.close()
 
     def _streamed(self):
         """Batches of an iterable, read by one thread ahead of the consumer."""
@@ -399,8 +509,8 @@ class BatchLoader:
         if record.index < 5:
             return
         spent = lambda r: r.wait_s + (r.fetch_s + r.collate_s if self.workers == 0 else 0.0)
-        recent = statistics.mean(map(spent, self.records[-4:]))
-        if spent(record) > 0.2 and spent(record) > 5 * recent:
+        recent = statistics.mean(map(spent, self.records[-BACK:]))
+        if is_slow(spent(record), recent):
             warn("slow", f"batch {record.index} took {spent(record):.2f} s, slower than recent average of {recent:.2f} s")
         total = sum(r.wait_s + r.step_s for r in self.records)
         waited = sum(r.wait_s for r in self.records)

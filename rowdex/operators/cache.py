@@ -21,7 +21,6 @@ from rowdex.sources.transport import cache_name, download, is_remote
 #: Rows that a range of an order should hold, and the most ranges.
 RANGE_ROWS, MOST_RANGES = 4096, 256
 
-
 class TableCache:
     """The last few tables, by key. A key that several threads ask for at once is read once."""
 
@@ -146,7 +145,7 @@ class FileCache:
             if ".part." in name or ".tmp" in name:
                 if time.time() - os.path.getmtime(path) > stale_after:
                     os.remove(path)
-            elif os.path.isfile(path):
+            elif os.path.isfile(path) and not name.endswith(".lock"):
                 self._files[path] = None
 
     def path_of(self, url: str) -> str:
@@ -304,6 +303,20 @@ def order_ranges(rows: DataFrame, order: str) -> Column:
     return sum((F.coalesce(F.col(order) >= F.lit(b), F.lit(False)).cast("int") for b in bounds), F.lit(0))
 
 
+def numbered(rows: DataFrame, name: str, order: str, *ties: str, descending: bool = False) -> DataFrame:
+    """Adds the number of each row in the order, from 1. Each range of the order is
+    numbered by itself and starts where the ones before it end."""
+    ranged = rows.withColumn("__range", order_ranges(rows, order))
+    number = F.desc("__range") if descending else F.asc("__range")
+    before = Window.orderBy(number).rowsBetween(Window.unboundedPreceding, -1)
+    sizes = ranged.groupBy("__range").agg(F.count(F.lit(1)).alias("__n"))
+    # at most MOST_RANGES rows
+    starts = sizes.select("__range", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__start"))
+    inside = Window.partitionBy("__range").orderBy(F.desc(order) if descending else F.asc(order), *ties)
+    place = (F.col("__start") + F.row_number().over(inside)).cast("int")
+    return ranged.join(F.broadcast(starts), "__range").withColumn(name, place).drop("__range", "__start")
+
+
 def admitted(files: DataFrame, order: str, size: str, max_files: int, max_bytes: int) -> DataFrame:
     """Which files a prefetch would take, in order: while fewer files and bytes stand before.
     Each range of the order is summed by itself and starts where the ones before it end."""
@@ -326,4 +339,4 @@ def admitted(files: DataFrame, order: str, size: str, max_files: int, max_bytes:
 
 def victims(files: DataFrame, last_use: str, keep: int, *ties: str) -> DataFrame:
     """Files that go when only the ``keep`` last used may stay."""
-    return files.withColumn("age", F.row_number().over(Window.orderBy(F.desc(last_use), *ties))).filter(F.col("age") > keep)
+    return numbered(files, "age", last_use, *ties, descending=True).filter(F.col("age") > keep)

@@ -24,11 +24,18 @@ from pyspark.sql import functions as F
 from rowdex.errors import IndexOutOfBoundsError, SplitNotFoundError
 from rowdex.functions import order
 from rowdex.operators.cache import TableCache
-from rowdex.plans.selection import Perm, Range, Selection, shard
+from rowdex.plans.selection import Keyed, Perm, Range, Selection, shard
+from rowdex.sources import rowgroup
+from rowdex.sources.files import read_group
 from rowdex.sources.index import RowGroup, SplitIndex, build_index
+from rowdex.sources.transport import is_remote
 
 #: Listed positions up to this many (16 bytes each) are broadcast; more are joined by a shuffle.
 BROADCAST_ROWS = 500_000
+#: Rows up to which a shuffle lists its order on the driver; beyond, positions are computed.
+LISTED_ROWS = 5_000_000
+#: Rows of a file that a save writes; a longer view becomes several files.
+SAVE_ROWS = 2_000_000
 
 
 def spark_uri(spark: SparkSession, path: str) -> str:
@@ -44,8 +51,7 @@ def positioned(spark: SparkSession, index: SplitIndex, files: Sequence[int] | No
     if not len(chosen):
         return positioned(spark, index, [0]).limit(0)
     paths = [index.files[k] for k in chosen]
-    schema = spark.read.parquet(index.files[0]).schema
-    rows = spark.read.schema(schema).parquet(*paths)
+    rows = spark.read.schema(spark_schema(spark, index)).parquet(*paths)
     if len(paths) == 1:
         return rows.withColumn("pos", F.col("_metadata.row_index") + F.lit(index.file_starts[chosen[0]]))
     starts = spark.createDataFrame([(spark_uri(spark, p), index.file_starts[k]) for k, p in zip(chosen, paths, strict=True)], "__path string, __start long")
@@ -54,6 +60,13 @@ def positioned(spark: SparkSession, index: SplitIndex, files: Sequence[int] | No
     return rows.join(F.broadcast(starts), "__path").withColumn("pos", F.col("__start") + F.col("__row")).drop("__path", "__start", "__row")
 
 
+def spark_schema(spark: SparkSession, index: SplitIndex):
+    """Spark's schema of the files, found once for an index."""
+    if index.spark_schema is None:
+        index.spark_schema = spark.read.parquet(index.files[0]).schema
+    return index.spark_schema
+
+
 def listed(spark: SparkSession, positions: np.ndarray) -> DataFrame:
     table = pa.table({"ord": pa.array(np.arange(len(positions)), pa.int64()), "pos": pa.array(positions, pa.int64())})
     return spark.createDataFrame(table)
@@ -66,7 +79,7 @@ class View:
         self, spark: SparkSession, index: SplitIndex, selection: Selection | None = None, columns: Sequence[str] | None = None,
         seed: int | None = None, buffer_size: int | None = None, dataset_id: str | None = None, cache: TableCache | None = None,
     ):
-        self.spark, self.index = spark, index
+        self._spark, self.index, self.token = spark, index, None
         self.selection = Range(0, index.num_rows) if selection is None else selection
         self.columns = list(index.schema.names if columns is None else columns)
         self.seed, self.buffer_size, self.dataset_id = seed, buffer_size, dataset_id
@@ -79,9 +92,21 @@ class View:
     def open(cls, spark: SparkSession, files: Sequence[str], split: str = "train", **more) -> View:
         return cls(spark, build_index(files, split, spark), **more)
 
+    @property
+    def spark(self) -> SparkSession:
+        """Its session, or in another process the one that is active there."""
+        if self._spark is None:
+            self._spark = SparkSession.builder.getOrCreate()
+        return self._spark
+
+    def __getstate__(self) -> dict:
+        """Without what belongs to one process: session, archive, open caches."""
+        return {**self.__dict__, "_spark": None, "archive": None}
+
     def _with(self, **changes) -> View:
         held = dict(selection=self.selection, columns=self.columns, seed=self.seed, buffer_size=self.buffer_size, cache=self.cache)
-        out = View(self.spark, self.index, **{**held, **changes})
+        out = View(self._spark, self.index, **{**held, **changes})
+        out.token = self.token
         out.archive, out.disk_cache = self.archive, self.disk_cache
         out.file_cache, out.urls, out.read_groups = self.file_cache, self.urls, self.read_groups
         return out
@@ -117,7 +142,7 @@ class View:
 
     @property
     def is_permuted(self) -> bool:
-        return isinstance(self.selection, Perm)
+        return not isinstance(self.selection, Range)
 
     @property
     def status(self) -> dict:
@@ -161,11 +186,15 @@ class View:
         return self._with(selection=shard(self.selection, num_shards, index, contiguous))
 
     def shuffle(self, seed: int | None = None, buffer_size: int | None = None) -> View:
-        """All rows in a seeded order; with a buffer, an order of iteration only."""
+        """All rows in a seeded order; with a buffer, an order of iteration only.
+        Up to ``LISTED_ROWS`` rows the order is that of Python's generator, beyond
+        it a keyed permutation, whose positions are computed and never listed."""
         if buffer_size is not None:
             if buffer_size < 1:
                 raise ValueError("buffer_size must be positive")
             return self._with(seed=seed, buffer_size=buffer_size)
+        if len(self) > LISTED_ROWS and isinstance(self.selection, Range):
+            return self._with(selection=Keyed.of(self.selection, seed), seed=seed, buffer_size=None)
         return self._with(selection=self.selection.pick(order.permutation(len(self), seed)), seed=seed, buffer_size=None)
 
     # row groups
@@ -191,21 +220,35 @@ class View:
         """``ord`` and the columns, in no order; sort by ``ord``."""
         return self._plan(self.selection).select("ord", *[F.col(f"`{c}`") for c in self.columns])
 
+    def _positioned(self, files: Sequence[int], first: int, last: int, groups: list[int] | None = None) -> DataFrame:
+        """Rows of positions first to last (or of some row groups) with ``pos``.
+        What Spark's readers cannot open comes through the row-group source."""
+        if any(map(is_remote, self.index.files)):
+            return rowgroup.read_rows(self.spark, self.index, self.columns or None, first, last + 1, groups, self.token)
+        return positioned(self.spark, self.index, files)
+
     def _plan(self, chosen: Selection) -> DataFrame:
         index, n = self.index, len(chosen)
+        if not n:
+            return self._positioned([0], 0, -1).limit(0).withColumn("ord", F.col("pos"))
         if isinstance(chosen, Range):
-            if not n:
-                return positioned(self.spark, index, [0]).limit(0).withColumn("ord", F.col("pos"))
             first, last = sorted((chosen.position(0), chosen.position(n - 1)))
-            rows = positioned(self.spark, index, index.files_of(first, last + 1))
+            rows = self._positioned(index.files_of(first, last + 1), first, last)
             away = F.col("pos") - F.lit(chosen.offset)
             rows = rows.filter((F.col("pos") >= first) & (F.col("pos") <= last))
             if chosen.step != 1:
                 rows = rows.filter(away % F.lit(abs(chosen.step)) == 0)
             return rows.withColumn("ord", (away / F.lit(chosen.step)).cast("long") if abs(chosen.step) != 1 else away * F.lit(chosen.step))
-        wanted = listed(self.spark, chosen.positions())
-        files = sorted(set((np.searchsorted(np.array(index.file_starts), chosen.positions(), "right") - 1).tolist()))
-        rows = positioned(self.spark, index, files if n else [])
+        if isinstance(chosen, Keyed):
+            first, last = sorted((chosen.base.position(0), chosen.base.position(len(chosen.base) - 1)))
+            ordinal = F.pandas_udf(lambda pos: pd.Series(chosen.ordinals(pos.to_numpy())), "long")
+            rows = self._positioned(index.files_of(first, last + 1), first, last).withColumn("ord", ordinal("pos"))
+            return rows.filter("ord >= 0")
+        held = chosen.positions()
+        wanted = listed(self.spark, held)
+        files = sorted(set((np.searchsorted(np.array(index.file_starts), held, "right") - 1).tolist()))
+        groups = sorted(set(np.searchsorted(np.array([g.end for g in index.groups]), held, "right").tolist()))
+        rows = self._positioned(files, 0, index.num_rows - 1, groups)
         return rows.join(F.broadcast(wanted) if n <= BROADCAST_ROWS else wanted, "pos")
 
     def ordered(self) -> DataFrame:
@@ -224,23 +267,31 @@ class View:
     def _read_group(self, group: RowGroup) -> pa.Table:
         if self.archive is not None and (held := self.archive.get(group.file_index, group.rg_index, self.columns)) is not None:
             return held
-        path = group.path
-        if self.file_cache is not None and path in self.urls:
-            path = self.file_cache.get_or_download(self.urls[path])  # it may have been evicted
-        if self.disk_cache is not None and (held := self.disk_cache.get(path, group.rg_index, self.columns)) is not None:
-            table = held
-        elif "://" in path:  # only Spark reaches it
-            rows = positioned(self.spark, self.index, [group.file_index]).filter((F.col("pos") >= group.start) & (F.col("pos") < group.end))
-            table = rows.orderBy("pos").select(*self.columns).toArrow()
+        url = self.urls.get(group.path)
+        if self.file_cache is None or url is None:
+            table = self._read_columns(group, group.path)
         else:
-            table = pq.ParquetFile(path).read_row_group(group.rg_index, columns=self.columns).select(self.columns)
-            if self.disk_cache is not None:
-                self.disk_cache.put(path, group.rg_index, self.columns, table)
+            self.file_cache.acquire(url)  # it stays on disk while it is read
+            try:
+                table = self._read_columns(group, self.file_cache.get_or_download(url))
+            finally:
+                self.file_cache.release(url)
         if self.archive is not None:
             self.archive.save(group.file_index, group.rg_index, table)
         self._count_read(group)
         return table
 
+    def _read_columns(self, group: RowGroup, path: str) -> pa.Table:
+        if self.disk_cache is not None and (held := self.disk_cache.get(path, group.rg_index, self.columns)) is not None:
+            return held
+        if "://" in path and not is_remote(path):  # only Spark reaches it
+            rows = positioned(self.spark, self.index, [group.file_index]).filter((F.col("pos") >= group.start) & (F.col("pos") < group.end))
+            return rows.orderBy("pos").select(*self.columns).toArrow()
+        table = read_group(path, group.rg_index, self.columns, self.token)
+        if self.disk_cache is not None:
+            self.disk_cache.put(path, group.rg_index, self.columns, table)
+        return table
+
     def _count_read(self, group: RowGroup) -> None:
         """A file is consumed once each of its row groups was read."""
         if self.file_cache is None:
@@ -255,6 +306,11 @@ class View:
         if self.file_cache is not None:
             self.file_cache.mark_consumed(self.urls.get(path, path))
 
+    def set_file_order(self, files: Sequence[int]) -> None:
+        """In which order files will be read, for a cache that fetches ahead."""
+        if self.file_cache is not None:
+            self.file_cache.set_file_sequence([self.urls.get(self.index.files[k], self.index.files[k]) for k in files])
+
     def reset_consumption(self) -> None:
         self.read_groups.clear()
         if self.file_cache is not None:
@@ -325,19 +381,30 @@ class View:
 
     def save_to_disk(self, target: str) -> str:
         """``{split}.parquet``, ``{split}.feather`` and ``{split}_info.json``. The
-        one Parquet part that Spark writes in order takes its name when complete."""
+        one Parquet part that Spark writes in order takes its name when complete.
+        A view of more than ``SAVE_ROWS`` rows becomes ``{split}/part-*.parquet``,
+        one file for each range of the order, written by as many tasks."""
         os.makedirs(target, exist_ok=True)
-        parquet, arrow = os.path.join(target, f"{self.split}.parquet"), os.path.join(target, f"{self.split}.feather")
-        staging = os.path.join(target, f".{self.split}.staging")
-        self.ordered().drop("ord").coalesce(1).write.mode("overwrite").parquet(staging)
-        part = next(f for f in sorted(os.listdir(staging)) if f.startswith("part-"))
-        os.replace(os.path.join(staging, part), parquet)
-        shutil.rmtree(staging)
-        with pq.ParquetFile(parquet) as held, pa.ipc.new_file(f"{arrow}.tmp", held.schema_arrow, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
-            for part in held.iter_batches():
-                out.write_batch(part)
-        os.replace(f"{arrow}.tmp", arrow)
-        info = {"split": self.split, "num_rows": len(self), "columns": self.columns, "data_file": os.path.basename(arrow), "parquet_file": os.path.basename(parquet), "format": "feather"}
+        info = {"split": self.split, "num_rows": len(self), "columns": self.columns}
+        parts = -(-len(self) // SAVE_ROWS)
+        if parts > 1:
+            folder = os.path.join(target, self.split)
+            rows = self.to_df().repartitionByRange(parts, "ord").sortWithinPartitions("ord").drop("ord")
+            rows.write.mode("overwrite").parquet(folder)
+            names = sorted(f for f in os.listdir(folder) if f.startswith("part-"))
+            info |= {"data_file": None, "parquet_file": None, "parquet_files": [os.path.join(self.split, f) for f in names], "format": "parquet"}
+        else:
+            parquet, arrow = os.path.join(target, f"{self.split}.parquet"), os.path.join(target, f"{self.split}.feather")
+            staging = os.path.join(target, f".{self.split}.staging")
+            self.ordered().drop("ord").coalesce(1).write.mode("overwrite").parquet(staging)
+            part = next(f for f in sorted(os.listdir(staging)) if f.startswith("part-"))
+            os.replace(os.path.join(staging, part), parquet)
+            shutil.rmtree(staging)
+            with pq.ParquetFile(parquet) as held, pa.ipc.new_file(f"{arrow}.tmp", held.schema_arrow, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
+                for part in held.iter_batches():
+                    out.write_batch(part)
+            os.replace(f"{arrow}.tmp", arrow)
+            info |= {"data_file": os.path.basename(arrow), "parquet_file": os.path.basename(parquet), "format": "feather"}
         with open(os.path.join(target, f"{self.split}_info.json"), "w", encoding="utf-8") as f:
             json.dump(info, f)
         return target

@@ -78,6 +78,8 @@ class SplitIndex:
         self.num_rows = row
         self.schema = pa.ipc.read_schema(pa.py_buffer(bytes.fromhex(footers[0]["schema"])))
         self._ends = [g.end for g in self.groups]
+        #: Spark's schema of the files, once it is known.
+        self.spark_schema = None
 
     def __len__(self) -> int:
         return self.num_rows

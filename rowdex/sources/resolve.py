@@ -16,8 +16,8 @@ SUFFIXES = (".parquet", ".pq")
 TOKEN_NAMES = ("HF_TOKEN", "HUGGING_FACE_HUB_TOKEN")
 #: Words that name a split, in the order in which they are tried.
 SPLIT_WORDS = {
-    "validation": ("validation", "valid", "val", "dev"),
-    "test": ("test", "testing", "eval"),
+    "validation": ("val", "valid", "validation", "dev", "eval"),
+    "test": ("test", "testing"),
     "train": ("train", "training"),
 }
 #: Parts of a name that still hint at a split, in the order in which they are tried.

@@ -2,8 +2,13 @@
 wanted positions. Spark's own Parquet scan prunes files but not row groups by
 position; this one does, for sparse selections.
 
-Options: ``files`` (JSON list), ``columns`` (JSON list, optional), ``start`` and
-``stop`` (positions, optional). With ``pushdown=true`` filters on ``pos`` prune
+It also reads files that Spark's readers cannot open, by HTTP ranges of the row
+groups and columns that are wanted.
+
+Options: ``files`` (JSON list) or ``index`` (JSON of an index, so that footers
+are not read again), ``columns`` (JSON list, optional), ``start`` and ``stop``
+(positions, optional), ``groups`` (JSON list of row group numbers, optional),
+``token``. With ``pushdown=true`` filters on ``pos`` prune
 partitions too; ``spark.sql.python.filterPushdown.enabled`` must be set then.
 """
 
@@ -13,8 +18,7 @@ import json
 from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
-import pyarrow.parquet as pq
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.datasource import (
     DataSource,
     DataSourceReader,
@@ -28,6 +32,7 @@ from pyspark.sql.datasource import (
 )
 from pyspark.sql.pandas.types import from_arrow_schema
 
+from rowdex.sources.files import read_group
 from rowdex.sources.index import SplitIndex, build_index
 
 READABLE = {pa.float16(): pa.float32()}
@@ -56,22 +61,24 @@ def cast_readable(column: pa.ChunkedArray) -> pa.ChunkedArray:
 
 
 class Part(InputPartition):
-    def __init__(self, path: str, group: int, first: int, start: int, stop: int):
-        self.path, self.group, self.first, self.start, self.stop = path, group, first, start, stop
+    def __init__(self, path: str, group: int, first: int, start: int, stop: int, token: str | None = None):
+        self.path, self.group, self.first, self.start, self.stop, self.token = path, group, first, start, stop, token
 
 
 class Reader(DataSourceReader):
-    def __init__(self, index: dict, columns: list[str], start: int, stop: int):
-        self.index, self.columns, self.start, self.stop = index, columns, start, stop
+    def __init__(self, index: dict, columns: list[str], start: int, stop: int, groups: list[int] | None = None, token: str | None = None):
+        self.index, self.columns, self.start, self.stop, self.groups, self.token = index, columns, start, stop, groups, token
 
     def partitions(self) -> list[InputPartition]:
-        found = SplitIndex.from_dict(self.index).locate_range(self.start, self.stop)
-        return [Part(g.path, g.rg_index, g.start, a, b) for g, a, b in found] or [Part("", 0, 0, 0, 0)]
+        index = SplitIndex.from_dict(self.index)
+        wanted = None if self.groups is None else {(index.groups[k].file_index, index.groups[k].rg_index) for k in self.groups}
+        found = [f for f in index.locate_range(self.start, self.stop) if wanted is None or (f[0].file_index, f[0].rg_index) in wanted]
+        return [Part(g.path, g.rg_index, g.start, a, b, self.token) for g, a, b in found] or [Part("", 0, 0, 0, 0)]
 
     def read(self, part: Part) -> Iterator[pa.RecordBatch]:
         if part.start >= part.stop:
             return
-        table = pq.ParquetFile(part.path).read_row_group(part.group, columns=self.columns).select(self.columns)
+        table = read_group(part.path, part.group, self.columns, part.token)
         table = table.slice(part.start, part.stop - part.start)
         held = [cast_readable(c) for c in table.columns]
         pos = pa.array(range(part.first + part.start, part.first + part.stop), pa.int64())
@@ -101,7 +108,9 @@ class RowGroupSource(DataSource):
         return "rowgroup"
 
     def _index(self) -> SplitIndex:
-        return build_index(json.loads(self.options["files"]))
+        if "index" in self.options:
+            return SplitIndex.from_dict(json.loads(self.options["index"]))
+        return build_index(json.loads(self.options["files"]), token=self.options.get("token"))
 
     def _columns(self, index: SplitIndex) -> list[str]:
         return json.loads(self.options["columns"]) if "columns" in self.options else index.schema.names
@@ -115,8 +124,23 @@ class RowGroupSource(DataSource):
         index = self._index()
         start, stop = int(self.options.get("start", 0)), int(self.options.get("stop", index.num_rows))
         kind = PushingReader if self.options.get("pushdown") == "true" else Reader
-        return kind(index.to_dict(), self._columns(index), start, stop)
+        groups = json.loads(self.options["groups"]) if "groups" in self.options else None
+        return kind(index.to_dict(), self._columns(index), start, stop, groups, self.options.get("token"))
 
 
 def register(spark: SparkSession) -> None:
     spark.dataSource.register(RowGroupSource)
+
+
+def read_rows(
+    spark: SparkSession, index: SplitIndex, columns: list[str] | None = None, start: int = 0, stop: int | None = None, groups: list[int] | None = None,
+    token: str | None = None,
+) -> DataFrame:
+    """``pos`` and columns of some positions, or of some row groups, of an index."""
+    register(spark)
+    reader = spark.read.format("rowgroup").option("index", json.dumps(index.to_dict())).option("start", start)
+    given = {"columns": columns and json.dumps(columns), "stop": stop, "groups": None if groups is None else json.dumps(groups), "token": token}
+    for name, value in given.items():
+        if value is not None:
+            reader = reader.option(name, value)
+    return reader.load()

@@ -13,8 +13,10 @@ import threading
 import time
 import urllib.error
 import urllib.request
+from collections import OrderedDict
 from collections.abc import Callable, Iterable
 from concurrent.futures import ThreadPoolExecutor
+from contextlib import contextmanager
 
 import pyarrow.parquet as pq
 
@@ -23,6 +25,8 @@ from rowdex.errors import CorruptParquetError, NetworkRangeError, RateLimitError
 #: Statuses that are tried again, the first range for a footer, and Parquet's mark.
 RETRIED = (500, 502, 503, 504)
 FOOTER_GUESS, MAGIC = 64 * 1024, b"PAR1"
+#: Bytes that a short read of a remote file asks for at once, and how many such blocks are kept.
+BLOCK, KEPT_BLOCKS = 64 * 1024, 32
 
 
 def is_remote(path: str) -> bool:
@@ -75,6 +79,92 @@ def remote_footer(url: str, token: str | None = None, sleep: Callable[[float], N
     return size, pq.read_metadata(io.BytesIO(MAGIC + body))
 
 
+class RangeFile(io.RawIOBase):
+    """A remote file that is read by range requests, tried again where that may
+    help. A long read asks for its bytes alone; short ones go through blocks, the
+    last few of which are kept. ``fetched`` counts the bytes that came."""
+
+    def __init__(self, url: str, token: str | None = None, size: int | None = None, sleep: Callable[[float], None] = time.sleep):
+        super().__init__()
+        self.url, self.token, self.sleep, self.fetched = url, token, sleep, 0
+        self._at, self._blocks = 0, OrderedDict()
+        if size is None:
+            self._tail()
+        else:
+            self._size = size
+
+    def _tail(self) -> None:
+        """The last block, which holds the footer, and the size, by one request."""
+
+        def call() -> None:
+            with request(self.url, self.token, -FOOTER_GUESS) as got:
+                body = got.read()
+                total = got.headers.get("Content-Range", "").rpartition("/")[2]
+                self._size = int(total) if total.isdigit() else len(body)
+            self.fetched += len(body)
+            self._end = body
+
+        with_retry(call, sleep=self.sleep)
+
+    _end = b""
+
+    def _fetch(self, start: int, end: int) -> bytes:
+        if start >= self._size - len(self._end):
+            return self._end[start - self._size + len(self._end) :][: end - start]
+
+        def call() -> bytes:
+            with request(self.url, self.token, start, end) as got:
+                body, whole = got.read(), got.status == 200
+            self.fetched += len(body)
+            body = body[start:end] if whole else body  # the server knows no ranges
+            if len(body) != end - start:
+                raise NetworkRangeError(self.url, f"{len(body)} of {end - start} bytes")
+            return body
+
+        return with_retry(call, sleep=self.sleep)
+
+    def _block(self, number: int) -> bytes:
+        if number not in self._blocks:
+            start = number * BLOCK
+            self._blocks[number] = self._fetch(start, min(self._size, start + BLOCK))
+            while len(self._blocks) > KEPT_BLOCKS:
+                self._blocks.popitem(last=False)
+        self._blocks.move_to_end(number)
+        return self._blocks[number]
+
+    def read(self, count: int = -1) -> bytes:
+        end = self._size if count is None or count < 0 else min(self._size, self._at + count)
+        start, self._at = self._at, max(self._at, end)
+        if start >= end:
+            return b""
+        if end - start >= BLOCK or start >= self._size - len(self._end):
+            return self._fetch(start, end)
+        parts = [self._block(k) for k in range(start // BLOCK, (end - 1) // BLOCK + 1)]
+        first = start - start // BLOCK * BLOCK
+        return b"".join(parts)[first : first + end - start]
+
+    def readinto(self, buffer) -> int:
+        got = self.read(len(buffer))
+        buffer[: len(got)] = got
+        return len(got)
+
+    def seek(self, offset: int, whence: int = os.SEEK_SET) -> int:
+        self._at = max(0, offset + {os.SEEK_SET: 0, os.SEEK_CUR: self._at, os.SEEK_END: self._size}[whence])
+        return self._at
+
+    def tell(self) -> int:
+        return self._at
+
+    def size(self) -> int:
+        return self._size
+
+    def readable(self) -> bool:
+        return True
+
+    def seekable(self) -> bool:
+        return True
+
+
 def cache_name(url: str) -> str:
     """File name of a URL in a cache: a hash, so equal base names do not collide."""
     plain = url.split("?")[0]
@@ -106,6 +196,26 @@ def download(url: str, target: str, token: str | None = None, attempts: int = 5,
     size = with_retry(length, attempts, sleep=sleep)
     if whole_parquet(target, size):
         return target
+    with locked(f"{target}.lock"):  # processes that want the same file fetch it once
+        return target if whole_parquet(target, size) else _download(url, target, size, token, attempts, chunk, sleep)
+
+
+@contextmanager
+def locked(path: str):
+    """One process or thread at a time; the lock goes with its holder."""
+    import fcntl
+
+    with open(path, "w") as f:
+        fcntl.flock(f, fcntl.LOCK_EX)
+        try:
+            yield
+        finally:
+            fcntl.flock(f, fcntl.LOCK_UN)
+            if os.path.exists(path):
+                os.remove(path)
+
+
+def _download(url: str, target: str, size: int | None, token: str | None, attempts: int, chunk: int, sleep: Callable[[float], None]) -> str:
     part = f"{target}.part.{os.getpid()}_{threading.get_ident()}_{time.monotonic_ns()}"
 
     def fetch() -> None:
@@ -124,8 +234,18 @@ def download(url: str, target: str, token: str | None = None, attempts: int = 5,
     return target
 
 
-def download_all(urls: Iterable[str], folder: str, token: str | None = None, workers: int = 8) -> list[str]:
-    """Fetches many files, in parallel; their paths in order. Local paths pass through."""
-    urls = list(urls)
+def download_all(urls: Iterable[str], folder: str, token: str | None = None, workers: int = 8, done: Callable[[int, int], None] | None = None) -> list[str]:
+    """Fetches many files, in parallel; their paths in order. Local paths pass
+    through. done: told after each file how many are there, of how many."""
+    urls, count, lock = list(urls), [0], threading.Lock()
+
+    def one(url: str) -> str:
+        path = download(url, os.path.join(folder, cache_name(url)), token) if is_remote(url) else url
+        with lock:
+            count[0] += 1
+            if done:
+                done(count[0], len(urls))
+        return path
+
     with ThreadPoolExecutor(max(1, min(workers, len(urls) or 1))) as pool:
-        return list(pool.map(lambda u: download(u, os.path.join(folder, cache_name(u)), token) if is_remote(u) else u, urls))
+        return list(pool.map(one, urls))
