@@ -1,16 +1,16 @@
 """Registered queries over the operators, each with SQL that gives the same rows.
 
 A parquet file's row number is its position. Permutations come from Python's
-generator; the SQL of the take queries lists the first few hundred pairs, that of
-the queries named ``_all`` the whole order. Layouts of many files and row groups
-are written to the shared folder first.
+generator; the SQL lists their pairs, of whole tables but where taking some rows
+is the operation. Layouts of many files and row groups, archives, caches and
+saved sets are written to the shared folder first.
 """
 
 from __future__ import annotations
 
 import json
 import os
-import tempfile
+import shutil
 from collections.abc import Callable
 
 import numpy as np
@@ -21,9 +21,11 @@ from pyspark.sql import functions as F
 from rowdex.api import load_dataset, load_from_disk, resume_dataset
 from rowdex.functions import order
 from rowdex.operators import archive, batches, cache
-from rowdex.plans.selection import contiguous
+from rowdex.plans.selection import Keyed, contiguous
 from rowdex.plans.view import View, listed
+from rowdex.session import staging_path
 from rowdex.sources import resolve, rowgroup
+from rowdex.sources.serve import RangeServer
 from rowdex.streaming import positions
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -72,12 +74,6 @@ def project_columns(spark, sf):
     return view(spark, sf, "orders").select_columns(["o_totalprice", "o_orderkey"]).to_df()
 
 
-@query(f"SELECT pos AS ord, vec_id, embedding[1] AS first, len(embedding)::INTEGER AS dims FROM {P('embeddings')} WHERE pos >= 100 AND pos < 300")
-def nested_passthrough(spark, sf):
-    rows = view(spark, sf, "embeddings").rows(slice(100, 300)).to_df()
-    return rows.select((F.col("ord") + 100).alias("ord"), "vec_id", F.col("embedding")[0].alias("first"), F.size("embedding").alias("dims"))
-
-
 @query(f"SELECT pos AS ord, vec_id, embedding FROM {P('embeddings')}")
 def nested_passthrough_all(spark, sf):
     return view(spark, sf, "embeddings").select_columns(["vec_id", "embedding"]).to_df()
@@ -185,8 +181,16 @@ def split_slice(spark, sf):
     return held.to_df()
 
 
+def _folder(spark, name: str) -> str:
+    """A new folder that driver and executors share."""
+    path = staging_path(spark, name)
+    local = path.removeprefix("file://").removeprefix("file:")
+    os.makedirs(local, exist_ok=True)
+    return local
+
+
 def _cache(spark) -> str:
-    return tempfile.mkdtemp(prefix="rowdex-index-")
+    return _folder(spark, "index")
 
 
 # shards
@@ -221,12 +225,6 @@ def shuffle_resume(spark, sf):
     return view(spark, sf, "events").select_columns("event_id").shuffle(7).skip(9800).to_df()
 
 
-@query(lambda: f"SELECT ord, event_id FROM {values(order.rolling_buffer(EVENTS, 500, SEED)[:TAKE])} JOIN {P('events')} USING (pos)")
-def buffer_shuffle_take(spark, sf):
-    held = view(spark, sf, "events").select_columns("event_id").shuffle(SEED, buffer_size=500)
-    return held._with(selection=held._iteration(0, held.seed, held.buffer_size).slice(0, TAKE)).to_df()
-
-
 @query(lambda: f"SELECT ord, event_id FROM {whole(order.rolling_buffer(EVENTS, 500, SEED))} JOIN {P('events')} USING (pos)")
 def buffer_shuffle_all(spark, sf):
     held = view(spark, sf, "events").select_columns("event_id").shuffle(SEED, buffer_size=500)
@@ -239,13 +237,6 @@ def _blocks(n: int) -> tuple[list[range], list[int]]:
     return groups, [k // 4 for k in range(len(groups))]
 
 
-@query(lambda: f"SELECT ord, o_orderkey FROM {values(order.block_order(*_blocks(ORDERS), SEED)[:TAKE])} JOIN {P('orders')} USING (pos)")
-def block_shuffle_take(spark, sf):
-    held = split_orders(spark, sf).select_columns("o_orderkey")
-    drawn = batches.BlockShuffledSampler(held, seed=SEED).order()[:TAKE]
-    return held.select(drawn.tolist()).to_df()
-
-
 @query(lambda: f"SELECT ord, o_orderkey FROM {whole(order.block_order(*_blocks(ORDERS), SEED))} JOIN {P('orders')} USING (pos)")
 def block_shuffle_all(spark, sf):
     held = split_orders(spark, sf).select_columns("o_orderkey")
@@ -291,13 +282,6 @@ def distributed_padded(spark, sf):
     return held.select(list(batches.DistributedSampler(held, 7, 6, shuffle=False))).to_df()
 
 
-@query(lambda: f"SELECT min(ord) AS lo, max(ord) AS hi, count(*) AS n, pos // {BLOCK} AS rg FROM {values(order.permutation(ORDERS, SEED)[:600])} GROUP BY pos // {BLOCK}")
-def rowgroup_indices(spark, sf):
-    held = split_orders(spark, sf).shuffle(SEED).take(600)
-    rows = [(min(o), max(o), len(o), g.start // BLOCK) for g, o in held._groups()]
-    return spark.createDataFrame(rows, "lo long, hi long, n long, rg long")
-
-
 @query(lambda: f"SELECT min(ord) AS lo, max(ord) AS hi, count(*) AS n, pos // {BLOCK} AS rg FROM {whole(order.permutation(ORDERS, SEED))} GROUP BY pos // {BLOCK}")
 def rowgroup_indices_all(spark, sf):
     rows = [(min(o), max(o), len(o), g.start // BLOCK) for g, o in split_orders(spark, sf).shuffle(SEED)._groups()]
@@ -328,12 +312,6 @@ def batch_collate_len(spark, sf):
     return rows.select("batch_id", F.size("rows").alias("n"), F.col("rows")[0]["c_custkey"].alias("first"))
 
 
-@query(lambda: f"SELECT ord, ord // 40 AS batch_id, o_orderkey FROM {values(order.permutation(ORDERS, 3)[:400])} JOIN {P('orders')} USING (pos)")
-def loader_plan(spark, sf):
-    held = view(spark, sf, "orders").select_columns("o_orderkey").shuffle(3).take(400)
-    return held.to_dataloader(batch_size=40).plan()
-
-
 @query(lambda: f"SELECT ord, ord // 40 AS batch_id, o_orderkey FROM {whole(order.permutation(ORDERS, 3))} JOIN {P('orders')} USING (pos)")
 def loader_plan_all(spark, sf):
     return view(spark, sf, "orders").select_columns("o_orderkey").shuffle(3).to_dataloader(batch_size=40).plan()
@@ -356,10 +334,6 @@ def latency_spike(spark, sf):
 
 
 # files, index, archives
-def _folder(spark, name: str) -> str:
-    return tempfile.mkdtemp(prefix=f"rowdex-{name}-")
-
-
 def split_files(spark, sf: str, table: str, rows: int, per_file: int) -> View:
     """A table again as files of ``per_file`` row groups of ``rows`` rows, in order."""
     folder = _folder(spark, table)
@@ -426,12 +400,6 @@ def resume_roundtrip(spark, sf):
     return load_from_disk(folder, allow_incomplete=False, spark=spark, manage=False).to_df()
 
 
-@query(lambda: f"SELECT ord, * EXCLUDE (ord, pos) FROM {values(order.permutation(CUSTOMERS, 5)[:300])} JOIN {P('customer')} USING (pos)")
-def save_load_roundtrip(spark, sf):
-    held = view(spark, sf, "customer").shuffle(5).take(300)
-    return load_from_disk(held.save_to_disk(_folder(spark, "saved")), spark=spark, manage=False).to_df()
-
-
 @query(lambda: f"SELECT ord, * EXCLUDE (ord, pos) FROM {whole(order.permutation(ORDERS, 5))} JOIN {P('orders')} USING (pos)")
 def save_load_all(spark, sf):
     held = view(spark, sf, "orders").shuffle(5)
@@ -447,46 +415,146 @@ def feather_roundtrip(spark, sf):
     return load_from_disk(folder, "train", spark=spark, manage=False).to_df()
 
 
-# caches
-SIZED = "(SELECT p_partkey AS seq, p_size AS bytes FROM part WHERE p_partkey <= 400)"
-
-
+# caches: the classes themselves are driven, and their state is returned
 @query(
     "SELECT seq, bytes, files_before, bytes_before, (files_before < 40 AND bytes_before < 900) AS admitted FROM (SELECT seq, bytes, count(*) OVER w AS files_before, "
-    f"coalesce(sum(bytes) OVER w, 0)::BIGINT AS bytes_before FROM {SIZED} WINDOW w AS (ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING))"
+    "coalesce(sum(bytes) OVER w, 0)::BIGINT AS bytes_before FROM (SELECT p_partkey AS seq, p_size AS bytes FROM part) "
+    "WINDOW w AS (ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING))"
 )
-def prefetch_admission(spark, sf):
-    files = spark.read.parquet(f"{sf}/part.parquet").filter("p_partkey <= 400").select(F.col("p_partkey").alias("seq"), F.col("p_size").alias("bytes"))
-    return cache.admitted(files, "seq", "bytes", 40, 900)
-
-
-@query(lambda: ORACLE_SQL["prefetch_admission"].replace(SIZED, "(SELECT p_partkey AS seq, p_size AS bytes FROM part)"))
 def prefetch_admission_all(spark, sf):
-    """The same over all files."""
+    """The rule of admission as a plan over a listing of files."""
     files = spark.read.parquet(f"{sf}/part.parquet").select(F.col("p_partkey").alias("seq"), F.col("p_size").alias("bytes"))
     return cache.admitted(files, "seq", "bytes", 40, 900)
 
 
+def stored(spark, sf: str, **limits) -> tuple[View, cache.FileCache]:
+    """Orders as files of four row groups behind a file cache."""
+    held = split_orders(spark, sf).select_columns(["o_orderkey"])
+    held.urls = {f: f"store://{os.path.basename(f)}" for f in held.index.files}
+    back = {u: f for f, u in held.urls.items()}
+    held.file_cache = cache.FileCache(_folder(spark, "files"), fetch=lambda url, path: shutil.copy(back[url], path), **limits)
+    return held, held.file_cache
+
+
+@query(f"SELECT file, file >= (max(file) OVER ()) - 1 AS cached FROM (SELECT DISTINCT pos // {4 * BLOCK} AS file FROM {P('orders')})")
+def file_cache_victims(spark, sf):
+    """Files left on disk when all were read in order and two may stay."""
+    held, files = stored(spark, sf, max_files=2, keep=True, prefetch_ahead=0)
+    held.reset_consumption()
+    held._count_read = lambda group: None  # nothing is consumed: the oldest go
+    for g in held.index.groups:
+        held._row_group(g)
+    return spark.createDataFrame([(k, files.is_cached(held.urls[f])) for k, f in enumerate(held.index.files)], "file long, cached boolean")
+
+
+@query(f"SELECT file, n = read AS consumed FROM (SELECT pos // {4 * BLOCK} AS file, count(DISTINCT pos // {BLOCK}) AS n, "
+       f"count(DISTINCT pos // {BLOCK}) FILTER (pos < 9000) AS read FROM {P('orders')} GROUP BY ALL)")
+def file_consumed(spark, sf):
+    """Files of which all row groups were read, when the first nine are."""
+    held, files = stored(spark, sf, max_files=None, keep=True, prefetch_ahead=0)
+    for g in held.index.groups[:9]:
+        held._row_group(g)
+    return spark.createDataFrame([(k, files.is_consumed(held.urls[f])) for k, f in enumerate(held.index.files)], "file long, consumed boolean")
+
+
+@query(f"SELECT file, file BETWEEN 1 AND 3 AS started FROM (SELECT DISTINCT pos // {BLOCK} AS file FROM {P('orders')})")
+def prefetch_started(spark, sf):
+    """Files whose download a prefetch starts: as many as may stay beside the first."""
+    held = split_files(spark, sf, "orders", BLOCK, 1)
+    urls = [f"store://{os.path.basename(f)}" for f in held.index.files]
+    back = dict(zip(urls, held.index.files, strict=True))
+    files = cache.FileCache(_folder(spark, "ahead"), max_files=4, prefetch_ahead=0, fetch=lambda url, path: shutil.copy(back[url], path))
+    files.get_or_download(urls[0])
+    started = set(files.prefetch(urls[1:]))
+    files.close()
+    return spark.createDataFrame([(k, u in started) for k, u in enumerate(urls)], "file long, started boolean")
+
+
+@query("SELECT user_id, row_number() OVER (ORDER BY max(event_id) DESC) <= 50 AS cached FROM events GROUP BY user_id")
+def table_cache_state(spark, sf):
+    """Users as keys, used in order of event: a table cache of 50 keeps the last used."""
+    used = spark.read.parquet(f"{sf}/events.parquet").select("event_id", "user_id").orderBy("event_id")
+    held, seen = cache.TableCache(50), {}
+    for r in used.toLocalIterator(prefetchPartitions=True):
+        held.get_or(r.user_id, lambda: True)
+        seen[r.user_id] = None
+    return spark.createDataFrame([(u, u in held._held) for u in seen], "user_id long, cached boolean")
+
+
 @query(
     "SELECT user_id, last_use, age FROM (SELECT *, row_number() OVER (ORDER BY last_use DESC, user_id)::INTEGER AS age "
     "FROM (SELECT user_id, max(ts) AS last_use FROM events GROUP BY user_id)) WHERE age > 50"
 )
-def lru_victims(spark, sf):
-    """Users as cached files: all but the 50 last used go."""
+def lru_victims_all(spark, sf):
+    """The rule of eviction as a plan over a listing of uses."""
     used = spark.read.parquet(f"{sf}/events.parquet").groupBy("user_id").agg(F.max("ts").alias("last_use"))
     return cache.victims(used, "last_use", 50, "user_id")
 
 
-@query("SELECT o_custkey AS file, count(DISTINCT o_orderkey % 4) AS read FROM orders GROUP BY o_custkey HAVING count(DISTINCT o_orderkey % 4) = 4")
-def file_consumed(spark, sf):
-    """Customers as files of four row groups: those of which all were read."""
-    reads = spark.read.parquet(f"{sf}/orders.parquet").select(F.col("o_custkey").alias("file"), (F.col("o_orderkey") % 4).alias("rg"))
-    return reads.groupBy("file").agg(F.count_distinct("rg").alias("read")).filter("read = 4")
+# remote files, by ranges
+_SERVERS: list[RangeServer] = []
+
+
+def served(spark, sf: str, table: str, rows: int, per_file: int) -> tuple[list[str], RangeServer]:
+    """URLs of a table's files on a server that runs as long as this process."""
+    files = split_files(spark, sf, table, rows, per_file).index.files
+    _SERVERS.append(RangeServer(os.path.dirname(files[0]), spark.conf.get("spark.driver.host", "127.0.0.1")))
+    return [f"{_SERVERS[-1].url}/{os.path.basename(f)}" for f in files], _SERVERS[-1]
+
+
+@query(f"SELECT pos AS ord, event_id, value FROM {P('events')}")
+def remote_rows(spark, sf):
+    """Rows of remote files as one plan: executors ask for row groups by range."""
+    urls, _ = served(spark, sf, "events", 1000, 4)
+    held = load_dataset(urls, split="train", streaming=True, columns=["event_id", "value"], spark=spark, manage=False, cache_dir=_cache(spark))
+    return held.to_df()
+
+
+@query(lambda: f"SELECT ord, event_id FROM {whole(order.permutation(EVENTS, SEED)[:TAKE])} JOIN {P('events')} USING (pos)")
+def remote_shuffle_take(spark, sf):
+    """Listed positions of remote files, from the row groups that hold them."""
+    urls, _ = served(spark, sf, "events", 1000, 4)
+    held = load_dataset(urls, split="train", streaming=True, columns=["event_id"], seed=SEED, spark=spark, manage=False, cache_dir=_cache(spark))
+    return held.take(TAKE).to_df()
+
+
+@query(f"SELECT pos // {4 * BLOCK} AS file, bool_or(pos // {BLOCK} = 6) AS over_footer FROM {P('orders')} GROUP BY ALL")
+def remote_bytes(spark, sf):
+    """Files that gave more than their footer when one row of the seventh row group was read."""
+    urls, server = served(spark, sf, "orders", BLOCK, 4)
+    held = load_dataset(urls, split="train", streaming=True, spark=spark, manage=False, cache_dir=_cache(spark))
+    index = dict(server.sent)
+    held[6 * BLOCK + 5]
+    return spark.createDataFrame([(k, server.sent[os.path.basename(u)] > index[os.path.basename(u)]) for k, u in enumerate(urls)], "file long, over_footer boolean")
+
+
+@query(f"SELECT pos AS ord, * EXCLUDE (pos) FROM {P('orders')}")
+def remote_archive(spark, sf):
+    """Remote files saved by executors, row group by row group, and read from the archive."""
+    urls, _ = served(spark, sf, "orders", BLOCK, 4)
+    folder = _folder(spark, "remote")
+    held = load_dataset(urls, split="train", save_to_disk=folder, spark=spark, manage=False, cache_dir=_cache(spark))
+    held.stream_and_save()
+    return load_from_disk(folder, allow_incomplete=False, spark=spark, manage=False).to_df()
+
+
+@query(f"SELECT count(*) AS n, count(DISTINCT pos) AS ords, min(pos) AS first, max(pos) AS last, sum(event_id)::BIGINT AS ids FROM {P('events')}")
+def keyed_shuffle_invariant(spark, sf):
+    """The computed order of long views: each row once, each ordinal once."""
+    held = view(spark, sf, "events").select_columns("event_id")
+    rows = held._with(selection=Keyed.of(held.selection, SEED)).to_df()
+    return rows.agg(F.count(F.lit(1)).alias("n"), F.count_distinct("ord").alias("ords"), F.min("ord").alias("first"), F.max("ord").alias("last"), F.sum("event_id").alias("ids"))
 
 
 # names and streams
-NAMES = ["train-0.parquet", "x/validation.parquet", "data_val_1.pq", "test/part.parquet", "my_dev.parquet", "interval.parquet", "z.parquet", "eval-2.parquet"]
-KINDS = ["train", "validation", "validation", "test", "validation", "validation", "train", "test"]
+NAMES = [
+    "train-0.parquet", "x/validation.parquet", "data_val_1.pq", "test/part.parquet", "my_dev.parquet", "interval.parquet", "z.parquet", "eval-2.parquet",
+    "valid.parquet", "a/testing_3.parquet", "training/x.parquet", "dev/part.parquet", "contest.parquet", "devtest.parquet", "eval/train.parquet",
+]
+KINDS = [
+    "train", "validation", "validation", "test", "validation", "validation", "train", "validation",
+    "validation", "test", "train", "validation", "test", "validation", "train",
+]
 
 
 @query("SELECT * FROM (VALUES " + ", ".join(f"('{n}', '{s}')" for n, s in zip(NAMES, KINDS, strict=True)) + ") AS t(name, split)")
