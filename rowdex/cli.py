@@ -73,5 +73,13 @@ def main(argv: Sequence[str] | None = None) -> int:
     return 0
 
 
+def kill(argv: Sequence[str] | None = None) -> int:
+    return main(["kill", *(sys.argv[1:] if argv is None else argv)])
+
+
+def benchmark(argv: Sequence[str] | None = None) -> int:
+    return main(["benchmark", *(sys.argv[1:] if argv is None else argv)])
+
+
 if __name__ == "__main__":
     sys.exit(main())
