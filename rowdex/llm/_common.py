@@ -2,6 +2,12 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
+from collections.abc import Callable, Iterator
+from functools import wraps
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -12,6 +18,30 @@ CAPITALS = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 SMALL = "abcdefghijklmnopqrstuvwxyz"
 
 
+def give_back() -> None:
+    """Returns free memory of this process to the system."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (OSError, AttributeError):  # not every C library has it
+        pass
+
+
+def tidy(run: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
+    """A function over the batches of a task that leaves no free memory behind:
+    Python workers outlive tasks, and idle ones count against an executor."""
+
+    @wraps(run)
+    def call(batches: Iterator) -> Iterator:
+        try:
+            yield from run(batches)
+        finally:
+            give_back()
+
+    return call
+
+
 def staged(df: DataFrame, name: str, batch_rows: int | None = None) -> DataFrame:
     """Writes ``df`` to the shared folder and reads it back: later steps neither
     repeat its work nor lose it with an executor. batch_rows: rows of an Arrow

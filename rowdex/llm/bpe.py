@@ -32,6 +32,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from rowdex.llm._common import tidy
 from rowdex.llm.token_count import Recent, byte_alphabet, in_pieces, rows_at_a_time
 
 #: Pre-tokens that the library gets as one sequence of words.
@@ -135,6 +136,7 @@ def _texts(column: pa.Array) -> list[str]:
 def encode(docs: DataFrame, vocabulary: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id, ids (array of int) and offsets (array of start and end) of each text."""
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         code = codec(vocabulary, pattern)
         for batch in rows_at_a_time(batches):
@@ -154,6 +156,7 @@ def encode(docs: DataFrame, vocabulary: str, pattern: str, id_col: str = "doc_id
 def decode(rows: DataFrame, vocabulary: str, pattern: str, id_col: str = "doc_id", ids_col: str = "ids") -> DataFrame:
     """id and text of each row of ids."""
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         code = codec(vocabulary, pattern)
         for batch in rows_at_a_time(batches):
@@ -174,6 +177,7 @@ def round_trip(
     kinds = [("n_tokens", "long"), ("ids_sha256", "string"), ("decoded_sha256", "string")]
     kinds += [("ids", "array<int>")] * with_ids + [("n_shared", "long"), ("offsets_sha256", "string")] * with_offsets
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         code = codec(vocabulary, pattern)
         for batch in rows_at_a_time(batches):

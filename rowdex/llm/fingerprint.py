@@ -36,7 +36,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
-from rowdex.llm._common import named, staged
+from rowdex.llm._common import named, staged, tidy
 from rowdex.llm._hashing import BASE, SEGMENT, UP, down
 from rowdex.llm.token_count import rows_at_a_time
 
@@ -142,6 +142,7 @@ def likeness(left: list[str], right: list[str]) -> np.ndarray:
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id and fingerprint of each text."""
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in rows_at_a_time(batches):
             found = pa.array([fingerprint(t) for t in batch.column(1).to_pylist()], pa.string())
@@ -189,6 +190,7 @@ def edit_report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     def batch_of(columns: list[list]) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, schema, strict=True)], schema=schema)
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids, held = [], []
         last, part = None, None  # id, text and fingerprint of the row whose next one is due
@@ -230,6 +232,7 @@ def edit_report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     lasts = found.filter("edge = 1").select("id", "text", "part").join(order, "part")
     pairs = lasts.join(firsts.select(F.col("part").alias("after"), F.col("text").alias("next_text")), "after").select("id", "text", "next_text")
 
+    @tidy
     def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in rows_at_a_time(batches, 50):
             texts, following = batch.column(1).to_pylist(), batch.column(2).to_pylist()

@@ -40,7 +40,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
-from rowdex.llm._common import staged, unused
+from rowdex.llm._common import staged, tidy, unused
 from rowdex.llm.token_count import in_pieces, rows_at_a_time
 
 ORDERS, BUCKET_BITS, PER_LANGUAGE, MOST_LANGUAGES = (1, 2, 3), 16, 1000, 400
@@ -201,6 +201,7 @@ def train(docs: DataFrame, lang: Column, text: Column, ident: Column, per_langua
         raise ValueError(f"more than {MOST_LANGUAGES} languages")
     sample = draw(docs, lang, text, ident, per_language, seed)
 
+    @tidy
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for name, texts in batch.groupby("lang")["text"]:
@@ -226,6 +227,7 @@ def identify(docs: DataFrame, model: Model, columns: list[Column], text_col: str
     names = [f.name for f in kept]
     rows = docs.select(*columns, docs[text_col].cast("string").alias(unused("text", names)))
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in rows_at_a_time(batches):
             langs, scores = [], []

@@ -52,7 +52,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rowdex.llm._common import BitFilter, named, packed, rows_once, rows_without, staged
+from rowdex.llm._common import BitFilter, named, packed, rows_once, rows_without, staged, tidy
 from rowdex.llm._hashing import BASE, SEGMENT, UP, down, mix
 from rowdex.llm.components import components
 from rowdex.llm.token_count import in_pieces
@@ -172,6 +172,7 @@ def _count_pass(n: int):
     of the counts of n-grams by cell (sets that repeat inside a partition count once)."""
     schema = pa.schema([("block", pa.int32()), ("counts", pa.binary()), ("id", pa.int64()), ("k1", pa.int64()), ("k2", pa.int64()), ("name", pa.binary()), ("n", pa.int64())])
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cells, seen, held, counted = np.zeros(1 << CELL_BITS, np.uint16), set(), [], 0
 
@@ -236,6 +237,7 @@ def _set_pass(n: int, percent: int, sent):
     sketch, and the n-grams of its prefix in their order."""
     schema = pa.schema([("name", pa.binary()), ("k1", pa.int64()), ("k2", pa.int64()), ("size", pa.int32()), ("sketch", pa.binary()), ("prefix", pa.list_(pa.int64()))])
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ranks, seen, held, rows = sent.value, set(), [], 0
         for (_, k1, k2), grams in _sets(batches, n):
@@ -271,6 +273,7 @@ def _within(percent: int):
 def _near(percent: int):
     """Pairs (a, b) whose sketches and sizes leave room for a link, with the size of b."""
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             a, b, size, size2 = (batch.column(k).to_numpy() for k in range(4))
@@ -351,6 +354,7 @@ def _multiply(percent: int):
     """Links among pairs. Rows come sorted by left row a and part: first the set
     of a, then those of the right rows b of that part."""
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         left: list[np.ndarray] = []
         names: list[int] = []
@@ -450,6 +454,7 @@ class Join:
         wanted = staged(reps.join(self.sets.select("rep", "k1", "k2", "name"), "rep"), "wanted")
         n = self.n
 
+        @tidy
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 found = [(rep, g.tobytes()) for (rep, name), g in _sets([batch], n) if set_name(g) == name]

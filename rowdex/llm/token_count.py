@@ -22,6 +22,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from rowdex.llm._common import tidy
+
 #: Entries kept of the counts of pre-tokens, and bytes of text that are cut at a time.
 KEPT, CUT_BYTES = 150_000, 2 << 20
 
@@ -185,6 +187,7 @@ def rows_at_a_time(batches: Iterator[pa.RecordBatch], most: int = 500) -> Iterat
 def count_tokens(docs: DataFrame, vocabulary: str, pattern: str, limit: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row for each document: id, n_bytes, n_tokens, over_limit."""
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         count = counter(vocabulary, pattern)
         for batch in rows_at_a_time(batches):

@@ -34,7 +34,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
-from rowdex.llm._common import staged, unused
+from rowdex.llm._common import staged, tidy, unused
 from rowdex.llm.token_count import rows_at_a_time
 
 SAMPLE, LEXICON, NEAR, FOLDS = 20_000, 400, 4, 3
@@ -207,6 +207,7 @@ def train(docs: DataFrame, labels: DataFrame, text_col: str, id_col: str, label:
     sample = staged(held.withColumn("fold", fold), "toxicity")
     words = lexicons(sample)
 
+    @tidy
     def measure(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             # a row's words did not make the lexicon that it is measured by
@@ -227,6 +228,7 @@ def score(docs: DataFrame, model: Model, columns: list[Column], text_col: str =
     names = [f.name for f in kept]
     rows = docs.select(*columns, docs[text_col].cast("string").alias(unused("text", names)))
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in rows_at_a_time(batches):
             found = sent.value.score(batch.column(len(names)).to_pylist())
