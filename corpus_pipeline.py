@@ -28,8 +28,18 @@ from rowdex.llm.queries import MIX_SEED, MIX_WEIGHTS, pretoken_pattern, source_d
 #: Part of the tokens that the mixture takes; each document at most once.
 MIX_BUDGET = 0.95
 
+#: Rows of an Arrow batch between an executor and its Python workers: rows are whole documents.
+TEXT_ROWS = 500
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Sets the session's batches. They stay so, as a stage's plan runs after its function returns."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", TEXT_ROWS)
+
+
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    small_batches(spark)
     labels = read_table(spark, sf_dir, "labels", "doc_id", "toxic").filter(id_crc(F.col("doc_id")) % 5 != 0)
     model = toxicity.train(docs, labels, "text", "doc_id", F.col("toxic"))
     scored = toxicity.score(docs, model, [packed(docs)])
@@ -41,6 +51,7 @@ def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    small_batches(spark)
     return ngram_join.drop_similar_documents(docs)
 
 
@@ -53,6 +64,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    small_batches(spark)
     return bpe.round_trip(docs, vocabulary("byte_bpe_50k.tiktoken"), pretoken_pattern(), with_ids=True)
 
 
