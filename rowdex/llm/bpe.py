@@ -38,6 +38,10 @@ from rowdex.llm.token_count import Recent, byte_alphabet, in_pieces, rows_at_a_t
 #: Pre-tokens that the library gets as one sequence of words.
 TOGETHER = 256
 
+#: Entries kept of the ids of pre-tokens, and bytes of text that are cut at a time: a
+#: pre-token is a Python object, many times its bytes.
+KEPT, CUT_BYTES = 75_000, 1 << 19
+
 
 def read_ranks(path: str) -> dict[bytes, int]:
     with open(path, "rb") as f:
@@ -81,7 +85,8 @@ class Codec:
         for i, token in self.tokens.items():
             self.widths[i] = len(token)
         self.pattern = regex.compile(pattern)
-        self.known = Recent()
+        #: The ids of a pre-token are bytes, four for each: a third of what Python's numbers take.
+        self.known = Recent(KEPT)
         self.digits = {rank: str(rank) for rank in self.tokens}
 
     def learn(self, pieces: set[str]) -> None:
@@ -90,20 +95,20 @@ class Codec:
         for k in range(0, len(parts), 64):
             held = parts[k : k + 64]
             for part, found in zip(held, self.library.encode_batch(held, is_pretokenized=True, add_special_tokens=False), strict=True):
-                ids = found.ids
-                cut = np.searchsorted(np.array(found.word_ids), np.arange(len(part) + 1)).tolist()
-                self.known.update(zip(part, [tuple(ids[a:b]) for a, b in zip(cut, cut[1:], strict=False)], strict=True))
+                ids = np.array(found.ids, np.int32).tobytes()
+                cut = (4 * np.searchsorted(np.array(found.word_ids), np.arange(len(part) + 1))).tolist()
+                self.known.update(zip(part, [ids[a:b] for a, b in zip(cut, cut[1:], strict=False)], strict=True))
 
-    def encode(self, texts: list[str]) -> list[list[int]]:
+    def encode(self, texts: list[str]) -> list[np.ndarray]:
         cut = [self.pattern.findall(t) for t in texts]
         self.learn(set(chain.from_iterable(cut)))
-        return [[*chain.from_iterable(map(self.known.__getitem__, pieces))] for pieces in cut]
+        return [np.frombuffer(b"".join(map(self.known.__getitem__, pieces)), np.int32) for pieces in cut]
 
-    def offsets(self, text: str, ids: list[int]) -> np.ndarray:
+    def offsets(self, text: str, ids: np.ndarray) -> np.ndarray:
         """The characters [start, end) that each token of a text touches, as two
         rows; tokens that share a character both have it."""
         raw = np.frombuffer(text.encode("utf-8", "surrogatepass"), np.uint8)
-        ends = np.cumsum(self.widths[np.fromiter(ids, np.int64, len(ids))])
+        ends = np.cumsum(self.widths[ids])
         starts = np.r_[0, ends[:-1]] if len(ends) else ends
         if len(raw) == len(text) and (not len(ends) or ends[-1] == len(raw)):
             return np.stack([starts, ends])
@@ -140,11 +145,11 @@ def encode(docs: DataFrame, vocabulary: str, pattern: str, id_col: str = "doc_id
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         code = codec(vocabulary, pattern)
         for batch in rows_at_a_time(batches):
-            found = [(ids, code.offsets(t, ids)) for texts in in_pieces(_texts(batch.column(1))) for t, ids in zip(texts, code.encode(texts), strict=True)]
+            found = [(ids, code.offsets(t, ids)) for texts in in_pieces(_texts(batch.column(1)), CUT_BYTES) for t, ids in zip(texts, code.encode(texts), strict=True)]
             sizes = pa.array(np.cumsum([0, *(len(ids) for ids, _ in found)]), pa.int32())
             spans = np.concatenate([np.zeros((2, 0), np.int64), *(s for _, s in found)], 1).astype(np.int32)
             pairs = pa.StructArray.from_arrays([pa.array(spans[0]), pa.array(spans[1])], ["start", "end"])
-            ids = pa.array(np.fromiter(chain.from_iterable(i for i, _ in found), np.int32, spans.shape[1]))
+            ids = pa.array(np.concatenate([np.zeros(0, np.int32), *(i for i, _ in found)]))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(sizes, ids), pa.ListArray.from_arrays(sizes, pairs)], [id_col, "ids", "offsets"])
         code.known.forget()
 
@@ -182,15 +187,16 @@ def round_trip(
         code = codec(vocabulary, pattern)
         for batch in rows_at_a_time(batches):
             out: dict[str, list] = {name: [] for name, _ in kinds}
-            for texts in in_pieces(_texts(batch.column(1))):
-                for text, ids in zip(texts, code.encode(texts), strict=True):
+            for texts in in_pieces(_texts(batch.column(1)), CUT_BYTES):
+                for text, found in zip(texts, code.encode(texts), strict=True):
+                    ids = found.tolist()
                     out["n_tokens"].append(len(ids))
                     out["ids_sha256"].append(hashlib.sha256(" ".join(map(code.digits.__getitem__, ids)).encode()).hexdigest())
                     out["decoded_sha256"].append(hashlib.sha256(code.decode(ids)).hexdigest())
                     if with_ids:
-                        out["ids"].append(np.array(ids, np.int32))
+                        out["ids"].append(found)
                     if with_offsets:
-                        spans = code.offsets(text, ids)
+                        spans = code.offsets(text, found)
                         out["n_shared"].append(int((spans[0, 1:] < spans[1, :-1]).sum()))
                         out["offsets_sha256"].append(hashlib.sha256(spans.astype("<i4").tobytes()).hexdigest())
             arrow = {"long": pa.int64(), "string": pa.string(), "array<int>": pa.list_(pa.int32())}
