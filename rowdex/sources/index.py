@@ -16,6 +16,7 @@ import pyarrow.parquet as pq
 from pyspark.sql import DataFrame, SparkSession
 
 from rowdex.errors import CorruptParquetError, IndexOutOfBoundsError
+from rowdex.sources.stores import data_files, in_store, store_footer
 from rowdex.sources.transport import is_remote, remote_footer
 
 
@@ -49,11 +50,13 @@ def byte_span(group: pq.RowGroupMetaData) -> tuple[int, int]:
     return (min(starts), max(ends)) if starts else (0, 0)
 
 
-def read_footer(path: str, token: str | None = None) -> dict:
+def read_footer(path: str, token: str | None = None, spark: SparkSession | None = None) -> dict:
     """What the index keeps of a file's footer."""
     try:
         if is_remote(path):
             size, meta = remote_footer(path, token)
+        elif in_store(path) and spark is not None:
+            size, meta = store_footer(spark, path)
         else:
             size, meta = os.path.getsize(path), pq.read_metadata(path)
     except (pa.ArrowInvalid, FileNotFoundError) as e:
@@ -160,16 +163,18 @@ def build_index(
     files: Sequence[str], split: str = "train", spark: SparkSession | None = None, cache_dir: str | None = None, token: str | None = None,
     on_executors: int = 64,
 ) -> SplitIndex:
-    """Reads footers: on the driver for a few files, else as one Spark job with a
-    row for each file."""
-    files = list(files)
+    """Reads footers: on the driver for a few files and for stores that only Spark
+    reaches, else as one Spark job with a row for each file. A folder stands for
+    the files below it, by name."""
+    files = [file for path in files for file in data_files(path, spark)]
     if not files:
         raise ValueError("an index needs at least one file")
-    place = cache_path(cache_dir, split, files) if cache_dir else None
+    stored = any(map(in_store, files))
+    place = cache_path(cache_dir, split, files) if cache_dir and not stored else None
     if place and (found := SplitIndex.load(place)):
         return found
-    if spark is None or len(files) < on_executors:
-        footers = [read_footer(p, token) for p in files]
+    if spark is None or stored or len(files) < on_executors:
+        footers = [read_footer(p, token, spark) for p in files]
     else:
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

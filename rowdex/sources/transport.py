@@ -61,6 +61,17 @@ def request(url: str, token: str | None = None, start: int | None = None, end: i
         raise
 
 
+def footer(path: str, tail: Callable[[int], tuple[bytes, int]]) -> tuple[int, pq.FileMetaData]:
+    """Size and footer of a file of which ``tail`` gives the last bytes, and the size."""
+    body, size = tail(FOOTER_GUESS)
+    if body[-4:] != MAGIC:
+        raise NetworkRangeError(path, "the file does not end as Parquet does")
+    need = int.from_bytes(body[-8:-4], "little") + 8
+    if need > len(body):
+        body, _ = tail(need)
+    return size, pq.read_metadata(io.BytesIO(MAGIC + body))
+
+
 def remote_footer(url: str, token: str | None = None, sleep: Callable[[float], None] = time.sleep) -> tuple[int, pq.FileMetaData]:
     """Size and footer of a remote file by one suffix range, or two for a long footer."""
 
@@ -70,13 +81,7 @@ def remote_footer(url: str, token: str | None = None, sleep: Callable[[float], N
             total = got.headers.get("Content-Range", "").rpartition("/")[2]
             return body, int(total) if total.isdigit() else len(body)
 
-    body, size = with_retry(lambda: tail(FOOTER_GUESS), sleep=sleep)
-    if body[-4:] != MAGIC:
-        raise NetworkRangeError(url, "the file does not end as Parquet does")
-    need = int.from_bytes(body[-8:-4], "little") + 8
-    if need > len(body):
-        body, _ = with_retry(lambda: tail(need), sleep=sleep)
-    return size, pq.read_metadata(io.BytesIO(MAGIC + body))
+    return footer(url, lambda count: with_retry(lambda: tail(count), sleep=sleep))
 
 
 class RangeFile(io.RawIOBase):
