@@ -5,10 +5,14 @@ from __future__ import annotations
 import os
 
 import duckdb
+import numpy as np
+import pyarrow as pa
 import pyarrow.parquet as pq
 import pytest
 
-from rowdex.queries import ORACLE_SQL, QUERIES
+from rowdex.functions import order
+from rowdex.plans.selection import contiguous
+from rowdex.queries import ORACLE_SQL, QUERIES, P, _blocks
 from rowdex.sources.index import build_index
 
 SF = "/root/testdata/sf0.01"
@@ -84,3 +88,33 @@ def test_stream_from(spark, folder, n):
 def test_select_rows(spark, folder, n):
     folder = f"/root/testdata/{folder}"
     assert against(connected(folder, "customer"), spark, "select_rows", folder) == n
+
+
+#: Queries whose SQL lists positions of the lengths at sf0.01: table, positions of n rows in order, and columns.
+LISTED = {
+    "block_shuffle_all": ("orders", lambda n: order.block_order(*_blocks(n), 42), "ord, o_orderkey"),
+    "buffer_shuffle_all": ("events", lambda n: order.rolling_buffer(n, 500, 42), "ord, event_id"),
+    "distributed_padded": ("customer", lambda n: np.resize(np.arange(n), -(-n // 7) * 7)[6::7], "ord, c_custkey"),
+    "loader_plan_all": ("orders", lambda n: order.permutation(n, 3), "ord, ord // 40 AS batch_id, o_orderkey"),
+    "remote_shuffle_take": ("events", lambda n: order.permutation(n, 42)[:200], "ord, event_id"),
+    "save_load_all": ("orders", lambda n: order.permutation(n, 5), "ord, * EXCLUDE (ord, pos)"),
+    "shard_contiguous": ("orders", lambda n: np.arange(*contiguous(n, 7, 3)), "ord, o_orderkey"),
+}
+
+
+def listed_sql(con: duckdb.DuckDBPyConnection, name: str, folder: str) -> str:
+    """The SQL of a query for the length that its table has in a folder."""
+    table, positions, columns = LISTED[name]
+    found = np.asarray(positions(pq.read_metadata(f"{folder}/{table}.parquet").num_rows), np.int64)
+    con.register(f"v_{name}", pa.table({"ord": np.arange(len(found)), "pos": found}))
+    return f"SELECT {columns} FROM v_{name} JOIN {P(table)} USING (pos)"
+
+
+@pytest.mark.parametrize("name", sorted(LISTED))
+def test_listed_for_its_length(spark, name):
+    folder, con = SF, connected(SF, LISTED[name][0])
+    made, own = (rows(con.sql(sql).to_arrow_table()) for sql in (listed_sql(con, name, folder), ORACLE_SQL[name]))
+    assert made == own
+    folder = "/root/testdata/sf0.1"
+    con = connected(folder, LISTED[name][0])
+    assert against(con, spark, name, folder, listed_sql(con, name, folder)) > 0
